@@ -1,0 +1,6 @@
+"""Every core query by name, and the SQL each is compared with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
