@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import pairs, syntax
+from quillsift.llm import neardup, pairs, syntax
 from quillsift.session import table
 
 
@@ -32,5 +32,20 @@ def p2_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parse_rates(_all_files(spark, root, True), ["repo", "language"])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates}
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.with_words(table(spark, root, "source_rows"), "row_id", ["original_instruction", "original_code"])
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of records that are nearly the same (TESTDATA problem 6)."""
+    return neardup.NearDuplicates(_records(spark, root)).pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p6_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Every record with its group and its number of links."""
+    docs = _records(spark, root)
+    return neardup.NearDuplicates(docs).groups(docs.select("id")).withColumnRenamed("id", "row_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
