@@ -22,9 +22,11 @@ from quillsift.session import cut_lineage
 # A step keeps a pair of overlap 0.85 with this probability or more, by the weights of `rarity`.
 STEP = 0.6
 RECALL = 0.9995
-NODE = 12.0
-#: Of 64 sketch bits, pairs of overlap 0.85 (Jaccard 0.74) agree in 55.6 on average, deviation 2.7.
-AGREE = 42
+NODE = 4.0
+DEPTH = 6
+#: Of 128 sketch bits, pairs of overlap 0.85 (Jaccard 0.74) agree in 111 on average, deviation 3.8;
+#: fewer than 94 agree for one such pair in 100,000.
+AGREE = 94
 
 
 def trees_for(recall: float, depth: int, step: float = STEP) -> int:
@@ -67,12 +69,13 @@ def fingerprints(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, in
     counts, total = tokens.word_counts(docs, ["words"])
     weights = tokens.rarity(counts, total)
     shares = np.minimum(1.0, counts / max(total, 1)).astype(np.float32)
-    floor = float(max(counts.sum(), 1)) / len(counts) / max(total, 1)
-    depth = max(1, min(4, math.ceil(math.log(max(total, 2) / NODE) / -math.log(max(min(floor * 4, 0.05), 1e-6)))))
-    trees = trees_for(recall, min(depth, 2))
+    # A path of rare words ends after so many steps; paths that meet frequent words go deeper.
+    rare = min(0.05, 4 * float(counts.sum()) / len(counts) / max(total, 1) + 1 / max(total, 1))
+    steps = max(1, math.ceil(math.log(max(total, 2) / NODE) / -math.log(max(rare, 1e-12))))
+    trees = trees_for(recall, steps)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((weights, shares))
-    names = ["id", "k1", "k2", "n", "bits", *[f"p{t}" for t in range(trees)]]
+    names = ["id", "k1", "k2", "n", "bits0", "bits1", *[f"p{t}" for t in range(trees)]]
     schema = pa.schema([(c, pa.int32() if c == "n" else pa.int64()) for c in names])
 
     def run(batches):
@@ -87,8 +90,8 @@ def fingerprints(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, in
                 slot = tokens.slots(values[np.lexsort((values, rows0))])
                 starts = tokens.segments(rows, n)
                 k1, k2 = tokens.multiset_key(ids, starts)
-                found = _paths(ids, rows, starts, w_all[slot], s_all[slot], n, trees, depth, total)
-                columns = [part.column(0), k1.view(np.int64), k2.view(np.int64), np.diff(starts).astype(np.int32), tokens.bit_sketch(ids, rows, n).view(np.int64), *[p.view(np.int64) for p in found]]
+                found = _paths(ids, rows, starts, w_all[slot], s_all[slot], n, trees, DEPTH, total)
+                columns = [part.column(0), k1.view(np.int64), k2.view(np.int64), np.diff(starts).astype(np.int32), *[b.view(np.int64) for b in tokens.bit_sketch(ids, rows, n)], *[p.view(np.int64) for p in found]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
     ddl = ", ".join(f"{c} {'int' if c == 'n' else 'bigint'}" for c in names)
@@ -149,15 +152,16 @@ class NearDuplicates:
         self.prints = cut_lineage(prints.where("n > 0"))
         paths = [f"p{t}" for t in range(trees)]
         self.classes = self.prints.groupBy("k1", "k2").agg(
-            F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits").alias("bits"), *[F.max(p).alias(p) for p in paths]
+            F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits0").alias("bits0"), F.max("bits1").alias("bits1"), *[F.max(p).alias(p) for p in paths]
         )
         self.paths = paths
 
     def candidates(self) -> DataFrame:
         """(a, b), a < b: representatives that share a node and whose sketches agree."""
-        nodes = self.classes.select(F.col("rep"), "n", "bits", F.explode(F.array(*self.paths)).alias("node"))
+        nodes = self.classes.select(F.col("rep"), "n", "bits0", "bits1", F.explode(F.array(*self.paths)).alias("node"))
         one, two = nodes.alias("x"), nodes.alias("y")
-        agree = 64 - F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+        differ = [F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in (0, 1)]
+        agree = 128 - differ[0] - differ[1]
         long, short = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
         met = one.join(
             two, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") < F.col("y.rep")) & (short >= long * F.lit(self.threshold - 1e-12)) & (agree >= AGREE)

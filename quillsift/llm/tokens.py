@@ -114,19 +114,18 @@ def rarity(counts: np.ndarray, rows: int) -> np.ndarray:
     return (np.log(max(rows, 1) / np.maximum(np.minimum(counts, rows), 1)) + 0.05).astype(np.float32)
 
 
-def bit_sketch(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """64 bits for each row: in each of 64 bins the lowest bit of the least id (0 if none)."""
-    out = np.zeros(n, dtype=np.uint64)
+def bit_sketch(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each row: in each of 128 bins the lowest bit of the least id (0 if none)."""
+    out = np.zeros(2 * n, dtype=np.uint64)
     if len(ids):
-        bins = (ids & np.uint64(63)).astype(np.int64)
-        key = rows * 64 + bins
+        key = rows * 128 + (ids & np.uint64(127)).astype(np.int64)
         order = np.lexsort((ids, key))
         k = key[order]
         lead = np.ones(len(k), dtype=bool)
         lead[1:] = k[1:] != k[:-1]
         k, least = k[lead], ids[order][lead]
-        np.bitwise_or.at(out, k // 64, ((least >> np.uint64(6)) & np.uint64(1)) << (k % 64).astype(np.uint64))
-    return out
+        np.bitwise_or.at(out, k // 64, ((least >> np.uint64(7)) & np.uint64(1)) << (k % 64).astype(np.uint64))
+    return out[0::2], out[1::2]
 
 
 def multiset_key(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
