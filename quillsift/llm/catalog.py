@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import neardup, pairs, syntax
+from quillsift.llm import cutoff, neardup, pairs, syntax
 from quillsift.session import table
 
 
@@ -32,6 +32,29 @@ def p2_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parse_rates(_all_files(spark, root, True), ["repo", "language"])
 
 
+def _outputs(spark: SparkSession, root: str) -> DataFrame:
+    cache = table(spark, root, "generation_cache").select(
+        F.lit("generation_cache").alias("table_name"), F.col("gen_id").alias("row_id"), F.lit("raw_output").alias("field_name"), F.col("model").alias("source"), F.col("raw_output").alias("text")
+    )
+    tasks = table(spark, root, "task_rows").select(
+        F.lit("task_rows").alias("table_name"), F.col("task_id").alias("row_id"), F.lit("generated_code").alias("field_name"), F.col("model").alias("source"), F.col("generated_code").alias("text")
+    )
+    return cache.unionByName(tasks)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Values that were cut before their end (TESTDATA problem 4)."""
+    return cutoff.truncated(_outputs(spark, root)).where("cut").select("table_name", "row_id", "field_name")
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    """How often each table and model truncates."""
+    scored = cutoff.truncated(_outputs(spark, root))
+    return scored.groupBy("table_name", F.col("source").alias("model")).agg(
+        F.count("*").alias("judged"), F.count_if("cut").alias("truncated"), F.round(F.count_if("cut") / F.count("*"), 6).alias("rate")
+    )
+
+
 def _records(spark: SparkSession, root: str) -> DataFrame:
     return neardup.with_words(table(spark, root, "source_rows"), "row_id", ["original_instruction", "original_code"])
 
@@ -47,5 +70,5 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.NearDuplicates(docs).groups(docs.select("id")).withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
