@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import cutoff, neardup, pairs, syntax
+from quillsift.llm import cutoff, neardup, pairs, splits, syntax
 from quillsift.session import table
 
 
@@ -55,6 +55,22 @@ def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of a training record and an evaluation record that is nearly the same (TESTDATA problem 5)."""
+    docs = splits.split_records(table(spark, root, "preference_rows"))
+    return splits.CrossSplit(docs).pairs().select(F.least("train_id", "held_id").alias("pref_id_a"), F.greatest("train_id", "held_id").alias("pref_id_b"))
+
+
+def p5_report(spark: SparkSession, root: str) -> DataFrame:
+    """Evaluation records that also stand in training, by split and source."""
+    rows = table(spark, root, "preference_rows")
+    leaked = splits.CrossSplit(splits.split_records(rows)).leaked()
+    held = rows.where("split_name <> 'train'").select(F.col("pref_id").alias("id"), "split_name", F.col("metadata.source").alias("source"))
+    return held.join(leaked, "id", "left").groupBy("split_name", "source").agg(
+        F.count("*").alias("records"), F.count("training_records").alias("overlapping"), F.coalesce(F.sum("training_records"), F.lit(0)).cast("bigint").alias("pairs")
+    )
+
+
 def _records(spark: SparkSession, root: str) -> DataFrame:
     return neardup.with_words(table(spark, root, "source_rows"), "row_id", ["original_instruction", "original_code"])
 
@@ -70,5 +86,5 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.NearDuplicates(docs).groups(docs.select("id")).withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}
