@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import cutoff, neardup, pairs, splits, syntax
+from quillsift.llm import cutoff, leaks, mixing, neardup, pairs, quota, residue, splits, syntax, tokens
 from quillsift.session import table
 
 
@@ -32,6 +32,28 @@ def p2_rates(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parse_rates(_all_files(spark, root, True), ["repo", "language"])
 
 
+def _quota(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, root, "preference_rows")
+    placed = quota.categories(rows, table(spark, root, "source_rows"))
+    return placed, quota.plan(rows, placed, table(spark, root, "sample_targets"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Target categories that the rows at hand cannot fill (TESTDATA problem 3)."""
+    return _quota(spark, root)[1].where("short").select("cwe")
+
+
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    """Need, available and drawn rows of each target category."""
+    return _quota(spark, root)[1].select("cwe", "target_pct", "min_rows", "need", "available", "draw", "short")
+
+
+def p3_sample(spark: SparkSession, root: str) -> DataFrame:
+    """The sample itself, each row with its category number."""
+    placed, planned = _quota(spark, root)
+    return quota.draw(placed, planned)
+
+
 def _outputs(spark: SparkSession, root: str) -> DataFrame:
     cache = table(spark, root, "generation_cache").select(
         F.lit("generation_cache").alias("table_name"), F.col("gen_id").alias("row_id"), F.lit("raw_output").alias("field_name"), F.col("model").alias("source"), F.col("raw_output").alias("text")
@@ -86,5 +108,55 @@ def p6_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.NearDuplicates(docs).groups(docs.select("id")).withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups}
+def _leak_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, root, "documents").select(F.col("doc_id").cast("bigint").alias("id"), tokens.hashed_words(F.col("text")).alias("words"))
+    items = table(spark, root, "benchmark_items").select(F.col("item_id").cast("bigint").alias("id"), tokens.hashed_words(F.col("text")).alias("words"))
+    return docs, items
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Reviews that hold a passage of an evaluation text (TESTDATA problem 7)."""
+    return leaks.leaks(*_leak_tables(spark, root)).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, root: str) -> DataFrame:
+    """For each leaked item the reviews with an exact passage and with an edited copy."""
+    found = leaks.alignments(*_leak_tables(spark, root))
+    exact, edited = F.col("run") >= 12, F.col("score") >= leaks.SIMILAR
+    return found.where(exact | edited).groupBy(F.col("item").alias("item_id")).agg(F.count_if(exact).alias("exact"), F.count_if(edited).alias("edited"), F.max("run").alias("longest_run"), F.round(F.max("score"), 4).alias("best_score"))
+
+
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    counted = mixing.with_tokens(table(spark, root, "documents"))
+    return counted, mixing.rates(counted, table(spark, root, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Sources too small for their share (TESTDATA problem 8)."""
+    return _mix(spark, root)[1].where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The mix: each review with the number of its copy."""
+    return mixing.mixed(*_mix(spark, root))
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual shares of the mix."""
+    counted, planned = _mix(spark, root)
+    return mixing.report(mixing.mixed(counted, planned), planned)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Reviews that are or hold residue (TESTDATA problem 9)."""
+    return residue.residue(table(spark, root, "documents")).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The corpus without residue."""
+    docs = table(spark, root, "documents")
+    return docs.join(residue.residue(docs).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
 ORACLES: dict[str, str] = {}
