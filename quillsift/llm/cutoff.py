@@ -158,6 +158,26 @@ def piled_lengths(values: DataFrame) -> DataFrame:
     return by.select(F.col("source").alias("_source"), peak.cast("int").alias("peak"))
 
 
+def add_peaks(known: DataFrame, few: int = 4096, salts: int = 64) -> DataFrame:
+    """The values with the peak of their source (0 if none).
+
+    Sources with a peak are few as a rule: up to `few` of them go into the plan as literals
+    and nothing is shuffled. Beyond that the sources are joined, each spread over `salts`
+    keys so that a source with a third of all rows is no single task.
+    """
+    peaks = piled_lengths(known).where("peak > 0")
+    found = peaks.limit(few + 1).collect()
+    if len(found) <= few:
+        if not found:
+            return known.withColumn("peak", F.lit(0))
+        pairs = F.create_map(*[F.lit(x) for r in found for x in (r["_source"], r["peak"])])
+        return known.withColumn("peak", F.coalesce(F.try_element_at(pairs, F.col("source")), F.lit(0)))
+    spread = peaks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = known.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    joined = salted.join(spread, (F.col("source") == F.col("_source")) & (salted["_salt"] == spread["_salt"]), "left")
+    return joined.select(*known.columns, F.coalesce("peak", F.lit(0)).alias("peak"))
+
+
 def fit(examples: list[tuple[list[int], int]], rounds: int = 800, penalty: float = 2e-5) -> np.ndarray:
     """Weights of a logistic regression on hashed features, by gradient descent with momentum."""
     weights = np.zeros(WIDTH)
@@ -212,8 +232,7 @@ def truncated(values: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -
     text. NULL, empty and REJECT values give no row; an empty table gives none; repeated
     rows are scored each.
     """
-    known = values.withColumn("source", F.coalesce("source", F.lit("")))
-    with_peak = known.join(piled_lengths(known), F.col("source") == F.col("_source"), "left").drop("_source")
+    with_peak = add_peaks(values.withColumn("source", F.coalesce("source", F.lit(""))))
     weights = train(with_peak, sample)
     held = values.sparkSession.sparkContext.broadcast(weights)
 
