@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def plain(value: Any, seen: frozenset = frozenset()) -> Any:
@@ -32,7 +33,7 @@ def dumps(value: Any, indent: int | None = None) -> str:
     return json.dumps(plain(value), ensure_ascii=False, indent=indent)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """JSON text re-written with Python's separators; text that is no JSON stays NULL."""
 
@@ -45,7 +46,7 @@ def canonical(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def pretty(text: pd.Series) -> pd.Series:
     """JSON text with an indent of two; text that is no JSON stays NULL."""
 
