@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_of(spark: SparkSession, folder: str, like: str) -> DataFrame:
-    """A stream of the Parquet files of a folder, with the schema of an existing file."""
-    return spark.readStream.schema(spark.read.parquet(like).schema).parquet(folder)
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file, with the schema they have now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if os.path.isfile(path):
+        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    return reader.parquet(path)
 
 
 def first_entries(entries: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """Each key once, as long as repetitions come within the watermark."""
-    return entries.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return entries.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(events: DataFrame, time: str, width: str, by: list[str], late: str, value: str | None = None) -> DataFrame:
     """Counts (and sums) by time window and group; rows later than the watermark are left out."""
     measures = [F.count("*").alias("n")] + ([F.sum(value).alias("total")] if value else [])
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*measures)
-    return grouped.select(F.col("window.start").alias("window_start"), *by, *[m for m in grouped.columns if m not in ("window", *by)])
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    grouped = timed.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*measures)
+    return grouped.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), *by, *[m for m in grouped.columns if m not in ("window", *by)])
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -37,3 +43,12 @@ def drain_latest(stream: DataFrame, key: str, order: list[str], path: str, check
         latest(batch, key, *order).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
     stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an aggregation over all that is there; the table holds every group, late or open ones too."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
