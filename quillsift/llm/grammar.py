@@ -525,7 +525,10 @@ _C_SIGNS = (
 
 
 class C(Language):
-    """C11 translation units; directives are checked by name and nesting, not expanded."""
+    """C11 translation units; directives are checked by name and nesting, not expanded.
+
+    A unit without declarations, such as comments alone, passes, as it does in compilers.
+    """
 
     def __init__(self) -> None:
         super().__init__()
@@ -657,4 +660,4 @@ class C(Language):
         return chr(_CURLY + _bits([not self.unpaired(content) and bool(self.block.match(content)), *(bool(p.match(content)) for p in (self.init, self.fields, self.enum))]))
 
     def _whole(self, content: str) -> bool:
-        return bool(content) and bool(self.unit.match(self.ternaries(content)))
+        return bool(self.unit.match(self.ternaries(content)))
