@@ -171,6 +171,7 @@ def evaluated(rows, code: str, seconds: float = 10.0, allow: bool | None = None,
 
     extra = "harness_ok boolean, fp bigint, ft bigint, sp double, st double, raw_result string, harness_error string"
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(extra).fields])
+    added = [f.name for f in T.StructType.fromDDL(extra)]
 
     def run(frames):
         for frame in frames:
@@ -181,7 +182,7 @@ def evaluated(rows, code: str, seconds: float = 10.0, allow: bool | None = None,
                     raise RuntimeError(got["error"])
                 (fp, ft), (sp, st) = got["functionality"], got["security"]
                 made.append((ok, int(fp), int(ft), float(sp), float(st), dumps(got), got.get("error")))
-            out = pd.DataFrame(made, columns=[f.name for f in schema.fields[len(rows.schema.fields) :]], index=frame.index)
+            out = pd.DataFrame(made, columns=added, index=frame.index)
             yield pd.concat([frame, out], axis=1)
 
     return rows.mapInPandas(run, schema)
