@@ -55,3 +55,15 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives the loss of executors."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The frame in enough partitions to keep every core busy with costly work on rows.
+
+    Scans are split by bytes, so a small table of long texts may come as one partition.
+    Only then the selected columns are shuffled once; large inputs, which have more
+    partitions than the cluster has cores, pass as they are. For scans, not for frames
+    that already shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
