@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.syntax import brace_language, problem_kind, python_problem
 from quillsift.llm.values import is_empty, map_batches
+from quillsift.session import spread
 
 WIDTH = 1 << 12
 #: Bound of the sample of values that the model is fitted on; documented parameter.
@@ -232,7 +233,7 @@ def truncated(values: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -
     text. NULL, empty and REJECT values give no row; an empty table gives none; repeated
     rows are scored each.
     """
-    with_peak = add_peaks(values.withColumn("source", F.coalesce("source", F.lit(""))))
+    with_peak = add_peaks(spread(values).withColumn("source", F.coalesce("source", F.lit(""))))
     weights = train(with_peak, sample)
     held = values.sparkSession.sparkContext.broadcast(weights)
 

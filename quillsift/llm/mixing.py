@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.values import map_batches, tokenizer_path
+from quillsift.session import spread
 
 # Split pattern of the byte-level tokenizers (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,7 +35,7 @@ def with_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         batch["tokens"] = [len(tool.encode_ordinary(t)) if t else 0 for t in batch["text"]]
         return batch
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text"), run, "doc_id bigint, source string, tokens bigint")
+    return map_batches(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")), run, "doc_id bigint, source string, tokens bigint")
 
 
 def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import tokens
-from quillsift.session import cut_lineage
+from quillsift.session import cut_lineage, spread
 
 # A step keeps a pair of overlap 0.85 with this probability or more, by the weights of `rarity`.
 STEP = 0.6
@@ -101,7 +101,8 @@ def fingerprints(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, in
 def with_words(rows: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     """id and words of the fields taken together as one text; NULL fields count as empty."""
     text = F.concat_ws("\n", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
-    return rows.select(F.col(id_column).cast("bigint").alias("id"), tokens.hashed_words(text).alias("words"))
+    read = spread(rows.select(F.col(id_column).cast("bigint").alias("id"), text.alias("_text")))
+    return read.select("id", tokens.hashed_words(F.col("_text")).alias("words"))
 
 
 def shared_words(frame: DataFrame, left: list[str], right: list[str], keep: list[str], threshold: float) -> DataFrame:

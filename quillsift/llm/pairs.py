@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillsift.llm.grammar import MARKER, SyntaxProblem
 from quillsift.llm.syntax import PY_TOKEN, brace_language, problem_kind, python_problem
 from quillsift.llm.values import is_empty, language_name, map_batches, words
+from quillsift.session import spread
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 
@@ -254,10 +255,10 @@ def defective_pairs(rows: DataFrame, id_column: str = "row_id", instruction: str
     NULL answers are empty; a NULL instruction cannot be copied and counts as English.
     Extra columns are ignored; repeated rows are judged each. A pure map: no shuffle.
     """
-    picked = rows.select(
+    picked = spread(rows.select(
         F.col(id_column).cast("bigint").alias("_id"), F.col(instruction).alias("_ask"), F.col(lang).alias("_lang"), F.col(path).alias("_path"),
         *[F.col(a).alias(f"_f{k}") for k, a in enumerate(answers)],
-    )
+    ))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"row_id": [], "field_name": [], "defect": []}

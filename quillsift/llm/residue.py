@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.values import map_batches, words
+from quillsift.session import spread
 
 #: Unrelated addresses under which a doubtful sentence has to occur.
 HOSTS = 3
@@ -139,7 +140,7 @@ def residue(docs: DataFrame, hosts: int = HOSTS) -> DataFrame:
         return out
 
     looked = map_batches(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", F.col("item_key").cast("string").alias("item_key")),
+        spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", F.col("item_key").cast("string").alias("item_key"))),
         run, "doc_id bigint, clear boolean, sentence string, slug string, strange boolean",
     )
     clear = looked.where("clear").select("doc_id", F.lit("clear wording or slot").alias("reason"))

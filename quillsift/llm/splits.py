@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm import tokens
 from quillsift.llm.neardup import shared_words
-from quillsift.session import cut_lineage
+from quillsift.session import cut_lineage, spread
 
 #: Of 64 sketch bits, records of overlap 0.85 agree in 55.6 on average, deviation 2.7.
 AGREE = 43
@@ -133,6 +133,5 @@ class CrossSplit:
 def split_records(rows: DataFrame) -> DataFrame:
     """id, side, prompt and chosen words of preference rows; other splits than train, eval and test are left out."""
     split = F.lower(F.trim("split_name"))
-    return rows.where(split.isin("train", "eval", "test")).select(
-        F.col("pref_id").cast("bigint").alias("id"), F.when(split == "train", 0).otherwise(1).alias("side"), tokens.hashed_words(said(F.col("prompt"))).alias("prompt"), tokens.hashed_words(said(F.col("chosen"))).alias("chosen")
-    )
+    read = spread(rows.where(split.isin("train", "eval", "test")).select(F.col("pref_id").cast("bigint").alias("id"), F.when(split == "train", 0).otherwise(1).alias("side"), said(F.col("prompt")).alias("_p"), said(F.col("chosen")).alias("_c")))
+    return read.select("id", "side", tokens.hashed_words(F.col("_p")).alias("prompt"), tokens.hashed_words(F.col("_c")).alias("chosen"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.grammar import MARKER, C, Java, JavaScript, SyntaxProblem
 from quillsift.llm.values import is_empty, language_name, map_batches
+from quillsift.session import spread
 
 PY_TOKEN = re.compile(
     r"""(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<com>\#[^\n]*)"""
@@ -90,13 +91,13 @@ def unparsable_files(rows: DataFrame, id_column: str, fields: list[str], lang: s
     empty table gives none, repeated rows are judged each.
     """
     keep = list(rates or [])
-    picked = rows.select(
+    picked = spread(rows.select(
         F.col(id_column).cast("bigint").alias("_id"),
         (F.col(lang) if lang else F.lit(fixed)).alias("_lang"),
         (F.col(path) if path else F.lit("")).alias("_path"),
         *[F.col(f).alias(f"_f{k}") for k, f in enumerate(fields)],
         *[F.col(c).cast("string").alias(f"_r{k}") for k, c in enumerate(keep)],
-    )
+    ))
     only_bad = rates is None
 
     def run(batch: dict[str, list]) -> dict[str, list]:
