@@ -222,7 +222,7 @@ def train(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
                 out["y"].append(1)
         return out
 
-    rows = map_batches(picked, run, "x array<int>, y int").collect()
+    rows = map_batches(picked.repartition(max(2, values.sparkSession.sparkContext.defaultParallelism)), run, "x array<int>, y int").collect()
     return fit([(r["x"], r["y"]) for r in rows])
 
 

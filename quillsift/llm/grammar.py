@@ -232,7 +232,7 @@ class JavaScript(Language):
         r"""(?P<ws>[^\S\n\r\u2028\u2029]+)|(?P<nl>[\n\r\u2028\u2029])|(?P<com>//[^\n\r\u2028\u2029]*|/\*(?s:.*?)\*/)|(?P<id>[^\W\d][\w$]*|\$[\w$]*)"""
         r"""|(?P<num>(?:0[xX][\da-fA-F][\da-fA-F_]*|0[bB][01][01_]*|0[oO][0-7][0-7_]*|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$]))"""
         r"""|(?P<str>'(?:[^'\\\n\r]|\\(?s:.))*'|"(?:[^"\\\n\r]|\\(?s:.))*")|(?P<tpl>`)"""
-        r"""|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:;,.@()\[\]{}])"""
+        r"""|(?P<op>(?!/\*)(?:>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:;,.@()\[\]{}]))"""
         r"""|(?P<priv>\#[A-Za-z_$][\w$]*)"""
     )
     WORDS = frozenset(_JS_WORDS.split())
@@ -459,7 +459,7 @@ class Java(Language):
         r"""|(?P<num>(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[lLfFdD]?(?![\w$]))"""
         r"""|(?P<str>\"{3}[ \t\f]*\r?\n(?:[^\\"]|\\(?s:.)|"(?!""))*\"{3}|"(?:[^"\\\n\r]|\\(?:[btnfrs0-7"'\\]|u+[\da-fA-F]{4}))*")"""
         r"""|(?P<chr>'(?:[^'\\\n\r]|\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))')"""
-        r"""|(?P<op>\.\.\.|->|::|<<=|\+\+|--|&&|\|\||==|!=|<=|>=|<<|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^!~<>=?:;,.@()\[\]{}])"""
+        r"""|(?P<op>(?!/\*)(?:\.\.\.|->|::|<<=|\+\+|--|&&|\|\||==|!=|<=|>=|<<|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^!~<>=?:;,.@()\[\]{}]))"""
     )
     PRIMS = frozenset("int long short byte char boolean float double".split())
     WORDS = frozenset(_JAVA_WORDS.split())
@@ -580,7 +580,7 @@ class C(Language):
         r"""(?P<ws>[ \t\f\v\r\n]+|//[^\n]*|/\*(?s:.*?)\*/)|(?P<id>[^\W\d]\w*)"""
         r"""|(?P<num>(?:0[xX](?:[\da-fA-F]+\.?[\da-fA-F]*|\.[\da-fA-F]+)(?:[pP][+-]?\d+)?|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?:[uUlLfF]*)(?![\w.]))"""
         r"""|(?P<str>(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*")|(?P<chr>[uUL]?'(?:[^'\\\n]|\\.)+')"""
-        r"""|(?P<op>\.\.\.|->|<<=|>>=|\+\+|--|&&|\|\||==|!=|<=|>=|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^!~<>=?:;,.()\[\]{}])"""
+        r"""|(?P<op>(?!/\*)(?:\.\.\.|->|<<=|>>=|\+\+|--|&&|\|\||==|!=|<=|>=|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^!~<>=?:;,.()\[\]{}]))"""
     )
     PRIMS = frozenset("void char short int long float double signed unsigned _Bool _Complex _Imaginary".split())
     WORDS = frozenset(_C_WORDS.split())
