@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.grammar import MARKER, SyntaxProblem
-from quillsift.llm.syntax import PY_TOKEN, brace_language, problem_kind, python_problem
-from quillsift.llm.values import is_empty, language_name, map_batches, words
+from quillsift.llm.syntax import brace_language, parses, problem_kind, python_problem
+from quillsift.llm.values import WORD, is_empty, language_name, map_batches, words
 from quillsift.session import spread
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
@@ -106,8 +107,8 @@ def _normal(text: str) -> str:
 def copies_question(instruction: str | None, answer: str) -> bool:
     """The answer is the instruction again, but for layout, case, a label or comment marks."""
     asked = words(instruction)
-    if len(asked) < 3 or len(answer) < len("".join(asked)):
-        return False
+    if len(asked) < 3 or asked[0] not in (m.group().lower() for m in islice(WORD.finditer(answer), _SAFE_WORDS + 1)):
+        return False  # only a label of a few words may stand before it
     shown = words(answer)
     extra = len(shown) - len(asked)
     if not 0 <= extra <= _SAFE_WORDS:
@@ -191,7 +192,7 @@ def pair_defects(instruction: str | None, answer: str | None, language: str) ->
         return ["empty"]
     if copies_question(instruction, answer):
         return ["copies_question"]
-    valid = language in _FOUR and problem_kind(answer, language) is None
+    valid = language in _FOUR and parses(answer, language)
     if valid:
         first = answer.lstrip()[:1]
         if first in "{[" and language in ("python", "javascript") and _is_json(answer):
@@ -221,7 +222,7 @@ def pair_defects(instruction: str | None, answer: str | None, language: str) ->
             return ["other_language"]
         if best and rivals[best] >= 0.25 and rivals[best] >= own + 0.2:
             return ["other_language"]
-        if any(rivals.get(x, 0) > 0.5 * own and problem_kind(answer, x) is None for x in _FOUR):
+        if any(rivals.get(x, 0) > 0.5 * own and parses(answer, x) for x in _FOUR):
             return ["other_language"]
         if own > 0 and language in _FOUR and breaks_off(answer, language):
             found.append("truncated")

@@ -60,6 +60,17 @@ def python_problem(text: str) -> SyntaxError | None:
     return None
 
 
+def parses(text: str, language: str) -> bool:
+    """Whether the text is a valid file of one of the four languages; kinds of defects do not matter."""
+    if language == "python":
+        return python_problem(text) is None
+    try:
+        brace_language(language).check(text)
+    except (SyntaxProblem, RecursionError):
+        return False
+    return True
+
+
 def problem_kind(text: str | None, language: str) -> str | None:
     """None if the text is a valid file of the language (or no file at all), else the kind
     of its first problem: marker, literal, delimiter, end or statement.
