@@ -160,3 +160,50 @@ def p9_clean(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
 ORACLES: dict[str, str] = {}
+
+_CATEGORY = "try_cast(nullif(ltrim(regexp_extract({0}, '\\d+'), '0'), '') AS BIGINT)"
+_BLANK = "trim(coalesce({0}, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) = ''"
+_PLACED = (
+    f"(SELECT p.pref_id, CASE WHEN {_BLANK.format('p.metadata.cwe')} THEN {_CATEGORY.format('s.cwe')} ELSE {_CATEGORY.format('p.metadata.cwe')} END AS category "
+    "FROM preference_rows p LEFT JOIN source_rows s ON p.metadata.row_index = s.row_id)"
+)
+_NEEDS = (
+    f"(SELECT t.cwe, greatest(ceil(t.target_pct * (SELECT count(*) // 2 FROM preference_rows) / 100), t.min_rows)::BIGINT AS need, (SELECT count(*) FROM {_PLACED} c WHERE c.category = {_CATEGORY.format('t.cwe')}) AS available FROM sample_targets t)"
+)
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+_RUNS = "(SELECT {0} AS id, array_to_string(w[k : k + 11], ' ') AS gram FROM (SELECT {0}, {1} AS w FROM {2}) d, range(1, 100000) r(k) WHERE k <= len(w) - 11)"
+
+ORACLES |= {
+    "p3_found": f"SELECT cwe FROM {_NEEDS} WHERE available < need",
+    "p7_found": f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM {_RUNS.format('doc_id', _WORDS.format('text'), 'documents')} d JOIN {_RUNS.format('item_id', _WORDS.format('text'), 'benchmark_items')} i USING (gram)",
+}
+
+# Numbered words: the k-th time a word stands in a text is a term of its own, so shared terms are shared words.
+
+
+def _terms(words: str, rows: str, extra: str = "") -> str:
+    return f"(SELECT id, w, row_number() OVER (PARTITION BY id, w) AS k FROM (SELECT id, {extra}unnest({words}) AS w FROM {rows}))"
+
+
+_RECORDS = "(SELECT row_id AS id, coalesce(original_instruction, '') || chr(10) || coalesce(original_code, '') AS text FROM source_rows)"
+_SAID = "array_to_string([m.content for m in {0} if coalesce(lower(trim(m.role)), '') <> 'system' and m.content is not null], chr(10))"
+
+
+def _near(terms: str, left: str = "", pairs: str = "a.id < b.id") -> str:
+    """Pairs of ids with their overlap by a join on terms."""
+    return (
+        f"(WITH t AS {terms}, n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.id AS x, b.id AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.k = b.k AND {pairs} GROUP BY 1, 2) "
+        "SELECT x, y FROM s JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE shared >= 0.85 * greatest(nx.n, ny.n) - 1e-9)"
+    )
+
+
+def _side(column: str) -> str:
+    rows = f"(SELECT pref_id AS id, {_SAID.format(column)} AS text FROM preference_rows)"
+    held = "a.id IN (SELECT pref_id FROM preference_rows WHERE split_name = 'train') AND b.id IN (SELECT pref_id FROM preference_rows WHERE split_name <> 'train')"
+    return _near(_terms(_WORDS.format("text"), rows), pairs=held)
+
+
+ORACLES |= {
+    "p6_found": f"SELECT x AS row_id_a, y AS row_id_b FROM {_near(_terms(_WORDS.format('text'), _RECORDS))}",
+    "p5_found": f"SELECT least(x, y) AS pref_id_a, greatest(x, y) AS pref_id_b FROM {_side('prompt')} JOIN {_side('chosen')} USING (x, y)",
+}
