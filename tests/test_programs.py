@@ -123,3 +123,35 @@ def test_snapshot_and_settings(spark, tmp_path, monkeypatch):
     monkeypatch.delenv("QS_NEW", raising=False)
     assert readers.load_settings(str(tmp_path / "e"), str(tmp_path / "missing")) == {"QS_NEW": "1"} and os.environ["QS_SET"] == "old"
     assert readers.dimension(spark, {"CWE-1": "x"}).collect()[0].description == "x"
+
+
+def test_ask_retries_and_waits():
+    from quillsift.operators.generate import ask, pause
+
+    calls, waits = [], []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise TimeoutError("no answer")
+        return "ok"
+
+    assert ask(flaky, "p", 3, waits.append) == ("ok", None) and waits == [2.0, 4.0] and len(calls) == 3
+    assert ask(lambda p: 1 / 0, "p", 0, waits.append) == ("", "ZeroDivisionError: division by zero")
+    assert ask(lambda p: " ", "p", 2, None, need_code=True) == ("", "ValueError: empty answer") and ask(lambda p: " ", "p", 2, None) == (" ", None)
+    assert [pause(k) for k in (0, 3, 4, 9)] == [2, 8, 10, 10]
+
+
+def test_memoized_generation(spark, tmp_path):
+    from quillsift.operators.generate import memoized
+
+    def factory():
+        return lambda prompt: f"```python\n{prompt}\n```" if "bad" not in prompt else 1 / 0
+
+    requests = spark.createDataFrame([("a", "x = 1"), ("a", "x = 1"), ("b", "bad")], "key string, prompt string")
+    path = str(tmp_path / "cache")
+    for n in (2, 3):  # the second run takes `a` from the cache and asks only for `b` again
+        got = sorted((r.key, r.code, r.error) for r in memoized(requests, "key", "prompt", path, factory, retries=1, backoff=False).collect())
+        assert got == [("a", "x = 1", None), ("a", "x = 1", None), ("b", "", "ZeroDivisionError: division by zero")]
+        assert spark.read.parquet(path).count() == n
+    assert memoized(requests, "key", "prompt", None, factory, retries=1, backoff=False).count() == 3
