@@ -42,7 +42,8 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target: tokens it has, tokens wanted, repetition rate (capped), and whether it falls short.
 
     The total is the tokens of all documents, those of other or no source included. A
-    source without documents has rate 0 and falls short if its target is above 0.
+    source without documents has rate 0 and falls short if its target is above 0. As many
+    rows as there are targets pass through the driver.
     """
     sizes = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
@@ -51,7 +52,9 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = F.col("target_pct") * F.col("total") / 100
     rate = F.when(tokens > 0, F.least(wanted / tokens, F.col("max_repeats").cast("double"))).otherwise(0.0)
     short = tokens * F.col("max_repeats") * 100 < F.col("target_pct") * F.col("total")
-    return joined.select("source", "target_pct", "max_repeats", tokens.alias("tokens"), "total", rate.alias("rate"), short.alias("short"))
+    found = joined.select("source", "target_pct", "max_repeats", tokens.alias("tokens"), "total", rate.alias("rate"), short.alias("short"))
+    # A local table of the targets' size: Spark knows how small it is, so hot sources are not shuffled to meet it.
+    return targets.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def mixed(counted: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
