@@ -8,6 +8,7 @@ which a source piles up. Every value is then scored.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -204,7 +205,12 @@ def fit(examples: list[tuple[list[int], int]], rounds: int = 800, penalty: float
 
 def train(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
     """Fit on a bounded sample of values and one artificial cut of each."""
-    picked = values.select("text", "peak").where(F.length("text") >= 40).orderBy(F.xxhash64(F.col("text"), F.lit(seed)), "text").limit(sample)
+    whole = 1 << 30
+    share = min(whole, math.ceil(2 * sample / max(values.count(), 1) * whole))
+    hashed_rows = values.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), "table_name", "row_id", "field_name"), F.lit(whole)))
+    # About twice the sample passes the hash test, so no task gathers more than that.
+    near = hashed_rows.where((F.col("_h") < share) & (F.length("text") >= 40))
+    picked = near.orderBy("_h", "text").limit(sample).select("text", "peak")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"x": [], "y": []}
