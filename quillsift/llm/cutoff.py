@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.syntax import brace_language, problem_kind, python_problem
+from quillsift.llm.pairs import line_shares, looks_like
+from quillsift.llm.syntax import problem_kind, python_problem
 from quillsift.llm.values import is_empty, map_batches
 from quillsift.session import spread
 
@@ -44,6 +45,11 @@ def code_state(code: str) -> str:
     for name in ("javascript", "java", "c"):
         if problem_kind(code, name) is None:
             return "other"
+    shares = line_shares(code)
+    if shares:
+        best = max(shares, key=shares.get)
+        if best not in ("python", "javascript", "java", "c") and shares[best] >= 0.6 and looks_like(code.rstrip().rsplit("\n", 1)[-1], best):
+            return "other"
     last = code.rstrip().count("\n") + 1
     line = error.lineno or last
     if line >= last or "never closed" in str(error.msg) and all(not x.strip() or x[:1].isspace() for x in code.split("\n")[line:]):
@@ -121,8 +127,6 @@ def cut(text: str, draw: random.Random) -> str | None:
         return None
     at = draw.randrange(max(20, len(body) // 8 if draw.random() < 0.5 else len(body) * 3 // 4), len(body) - 1)
     piece = body[:at]
-    if not _inside_token(body, at):
-        piece = body[: at - 1] if _inside_token(body, at - 1) else piece
     if _whole(piece):
         return None
     style = draw.random()
@@ -133,10 +137,6 @@ def cut(text: str, draw: random.Random) -> str | None:
     return piece
 
 
-def _inside_token(text: str, at: int) -> bool:
-    return text[at - 1].isalnum() and text[at : at + 1].isalnum()
-
-
 def _whole(piece: str) -> bool:
     """A cut that happens to fall on the end of complete content teaches nothing."""
     fences = list(_FENCE.finditer(piece))

@@ -126,6 +126,11 @@ def line_shares(text: str) -> dict[str, float]:
     return {k: n / len(lines) for k, p in _SIGNS.items() if (n := sum(1 for x in lines if p.match(x)))}
 
 
+def looks_like(line: str, language: str) -> bool:
+    """Whether one line looks like a language of SIGNATURES."""
+    return bool(_SIGNS[language].match(line.rstrip()))
+
+
 def human_language(text: str) -> str | None:
     """A script's name, a language of FUNCTION_WORDS, or None if too little points anywhere."""
     letters = len(LETTERS.findall(text))
