@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillsift.operators.order import with_ordinal
 
 
 def expand(rows: DataFrame, most: int, name: str = "attempt") -> DataFrame:
@@ -39,6 +40,13 @@ def last_reason(attempts: DataFrame, key: str, order: str, ok: Column, reason: C
 
 
 def ordered_attempts(rows: DataFrame, key: str, order: str, most: int | None = None, name: str = "attempt") -> DataFrame:
-    """Numbers the rows of each key from 1 in order; `most` keeps the first so many."""
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return numbered if most is None else numbered.where(F.col(name) <= most)
+    """Numbers the rows of each key from 1 in order; `most` keeps the first so many.
+
+    Rows are numbered as a whole over range partitions and the number of each key's first
+    row is taken off, so a key with a third of all rows is spread over many tasks. NULL
+    keys are one key; ties of the order are numbered in any order, each once.
+    """
+    numbered = with_ordinal(rows, key, order, name="__n")
+    first = numbered.groupBy(F.col(key).alias("__key")).agg(F.min("__n").alias("__first"))
+    joined = numbered.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, (F.col("__n") - F.col("__first") + 1).cast("int")).drop("__n", "__key", "__first")
+    return joined if most is None else joined.where(F.col(name) <= most)

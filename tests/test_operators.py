@@ -152,3 +152,10 @@ def test_cases(spark):
 def test_gate_and_variants(spark):
     rows = spark.createDataFrame([("f", "t", "CWE-79"), (None, "t", "79"), ("f", " ", None)], "n string, t string, c string")
     assert [tuple(r) for r in rows.select(tasks.gate("n", "t"), tasks.hides_tests("c")).collect()] == [(None, True), ("skipped: missing function_name", False), ("skipped: empty test_code", False)]
+
+
+def test_attempts_are_numbered_over_many_tasks(spark):
+    rows = spark.createDataFrame([("hot", k) for k in range(400)] + [("b", 5), ("b", 3), (None, 1), (None, 0)], "k string, at int").repartition(6)
+    got = {(r.k, r["at"]): r.attempt for r in attempts.ordered_attempts(rows, "k", "at").collect()}
+    assert got == {**{("hot", k): k + 1 for k in range(400)}, ("b", 3): 1, ("b", 5): 2, (None, 0): 1, (None, 1): 2}
+    assert attempts.ordered_attempts(rows, "k", "at", 2).count() == 6 and attempts.ordered_attempts(rows.limit(0), "k", "at").count() == 0
