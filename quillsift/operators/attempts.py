@@ -46,7 +46,7 @@ def ordered_attempts(rows: DataFrame, key: str, order: str, most: int | None = N
     row is taken off, so a key with a third of all rows is spread over many tasks. NULL
     keys are one key; ties of the order are numbered in any order, each once.
     """
-    numbered = with_ordinal(rows, key, order, name="__n")
+    numbered = with_ordinal(rows, key, order, name="__n", unique=False)
     first = numbered.groupBy(F.col(key).alias("__key")).agg(F.min("__n").alias("__first"))
     joined = numbered.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, (F.col("__n") - F.col("__first") + 1).cast("int")).drop("__n", "__key", "__first")
     return joined if most is None else joined.where(F.col(name) <= most)

@@ -11,15 +11,28 @@ from pyspark.sql.window import Window
 from quillsift.session import cut_lineage
 
 
-def with_ordinal(rows: DataFrame, *keys: str, name: str = "row_index") -> DataFrame:
-    """Numbers the rows from 0 in the order of a unique key.
-
-    Rows are range-partitioned and sorted once and written to the shared folder, so that
-    the second reading sees the same partitions; only one count for each partition is
-    collected. NULL keys come first. An empty table stays empty.
+def with_ordinal(rows: DataFrame, *keys: str, name: str = "row_index", unique: bool = True) -> DataFrame:
+    """Numbers the rows from 0 in the order of the keys; NULL keys come first.
+
+    Keys are range-partitioned and sorted once and written to the shared folder, so that the
+    second reading sees the same partitions; only one count for each partition is collected.
+    With unique keys only the keys are written, and the rows join their numbers. Otherwise
+    whole rows are written and ties are numbered in any order. An old column of that name
+    is replaced; an empty table stays empty.
     """
     if name in rows.columns:
         rows = rows.drop(name)
+    if not unique or set(rows.columns) == set(keys):
+        return _numbered(rows, keys, name)
+    plain = [f"__k{k}" for k in range(len(keys))]
+    numbers = _numbered(rows.select(*[F.col(c).alias(p) for c, p in zip(keys, plain)]), plain, name)
+    same = F.lit(True)
+    for c, p in zip(keys, plain):
+        same = same & F.col(c).eqNullSafe(F.col(p))
+    return rows.join(numbers, same).drop(*plain)
+
+
+def _numbered(rows: DataFrame, keys, name: str) -> DataFrame:
     place, base = "__part", "__at"
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.spark_partition_id()).withColumn(base, F.monotonically_increasing_id())
     ordered = cut_lineage(ordered)

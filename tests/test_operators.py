@@ -58,6 +58,13 @@ def test_ordinal(spark, n):
     assert [r.row_index for r in got] == list(range(n)) and [r.id for r in got] == sorted(r.id for r in got)
 
 
+def test_ordinal_of_ties_and_nulls(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 1), ("a", 1), (None, 1)], "k string, v int")
+    assert sorted(r.row_index for r in order.with_ordinal(rows, "k", unique=False).collect()) == [0, 1, 2, 3]
+    unique = spark.createDataFrame([("b", "y"), (None, "x"), ("a", "z")], "k string, v string")
+    assert [(r.row_index, r.v) for r in order.with_ordinal(unique, "k").orderBy("row_index").collect()] == [(0, "x"), (1, "z"), (2, "y")]
+
+
 def test_limits(spark):
     rows = spark.range(10).withColumnRenamed("id", "k")
     assert [r.k for r in order.pre_limit(rows, "k", 3).collect()] == [0, 1, 2]
