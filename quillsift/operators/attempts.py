@@ -42,11 +42,13 @@ def last_reason(attempts: DataFrame, key: str, order: str, ok: Column, reason: C
 def ordered_attempts(rows: DataFrame, key: str, order: str, most: int | None = None, name: str = "attempt") -> DataFrame:
     """Numbers the rows of each key from 1 in order; `most` keeps the first so many.
 
-    Rows are numbered as a whole over range partitions and the number of each key's first
-    row is taken off, so a key with a third of all rows is spread over many tasks. NULL
-    keys are one key; ties of the order are numbered in any order, each once.
+    `order` is unique within a key. Only key and order are numbered, as a whole over range
+    partitions, and the number of each key's first row is taken off, so a key with a third
+    of all rows is spread over many tasks. NULL keys are one key.
     """
-    numbered = with_ordinal(rows, key, order, name="__n", unique=False)
-    first = numbered.groupBy(F.col(key).alias("__key")).agg(F.min("__n").alias("__first"))
-    joined = numbered.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, (F.col("__n") - F.col("__first") + 1).cast("int")).drop("__n", "__key", "__first")
-    return joined if most is None else joined.where(F.col(name) <= most)
+    narrow = with_ordinal(rows.select(F.col(key).alias("__key"), F.col(order).alias("__order")), "__key", "__order", name="__n")
+    first = narrow.groupBy(F.col("__key").alias("__of")).agg(F.min("__n").alias("__first"))
+    numbers = narrow.join(first, F.col("__key").eqNullSafe(F.col("__of"))).select("__key", "__order", (F.col("__n") - F.col("__first") + 1).cast("int").alias(name))
+    if most is not None:
+        numbers = numbers.where(F.col(name) <= most)
+    return rows.join(numbers, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__order"))).drop("__key", "__order")
