@@ -38,7 +38,7 @@ _WORDY = re.compile(r"[^\W\d_][\w .'-]*(?:\s*\|\s*[\w .:'\"()-]+)?")
 # Wording that only stands where real content is missing (fixed values, matched in lower case).
 CLEAR = [
     # filler
-    r"\blorem ipsum dolor\b", r"\bipsum dolor sit amet\b", r"\bconsectetur adipiscing elit\b", r"\bdolor sit amet\b", r"\bthis is (?:a )?(?:sample|dummy|placeholder|filler|test|example) (?:text|review|content)\b", r"\b(?:placeholder|dummy|sample|filler) text (?:for|goes here|here)\b", r"\btodo\s*:?\s*(?:add|write|insert|fill|replace)\b",
+    r"\blorem ipsum dolor\b", r"\bipsum dolor sit amet\b", r"\bconsectetur adipiscing elit\b", r"\bdolor sit amet\b", r"\bsed do eiusmod tempor\b", r"\but (?:enim ad minim|labore et dolore)\b", r"\bquis nostrud exercitation\b", r"\bduis aute irure\b", r"\bin reprehenderit in voluptate\b", r"\bexcepteur sint occaecat\b", r"\bcupidatat non proident\b", r"\bmollit anim id est\b", r"\bthis is (?:a )?(?:sample|dummy|placeholder|filler|test|example) (?:text|review|content)\b", r"\b(?:placeholder|dummy|sample|filler) text (?:for|goes here|here)\b", r"\btodo\s*:?\s*(?:add|write|insert|fill|replace)\b",
     r"\bfixme\s*:", r"\b(?:write|enter|type|insert|add|put) (?:your|the|a) (?:own )?(?:review|text|comment|opinion|title|description|message|content) here\b", r"\b(?:your|review|insert) (?:text|review|content|title|name) (?:goes )?here\b", r"\breplace (?:it|this(?: text)?) with your (?:own )?(?:review|text|content)\b",
     r"\bblindtext\b.{0,30}\bersetzen\b", r"\b(?:dies|das) ist ein (?:blind|platzhalter|muster|beispiel)text\b", r"\bplatzhaltertext\b", r"\bhier (?:ihren?|deinen?|den) (?:text|bewertung|kommentar|titel) (?:eingeben|einfügen|schreiben)\b", r"\bihre? (?:text|bewertung) hier\b", r"\b(?:votre|saisissez votre|écrivez votre|insérez votre) (?:avis|texte|commentaire|titre) ici\b",
     r"\bceci est un (?:faux )?texte (?:d'exemple|de remplissage|factice)\b", r"\btexte (?:d'exemple|de remplissage)\b", r"\b(?:escriba|escribe|introduzca|introduce|inserte|ingrese) (?:aquí )?(?:su|tu) (?:opinión|texto|comentario|reseña|título)(?: aquí)?\b", r"\bescrib[ae] aquí\b", r"\bsu (?:texto|opinión) aquí\b", r"\b(?:este|esto) es un texto de (?:ejemplo|prueba|relleno)\b",
@@ -53,13 +53,15 @@ CLEAR = [
     # notices about scripts, browsers, cookies, access
     r"\b(?:please|you (?:need|have|must) to|you must|kindly)\s+(?:enable|activate|turn on|allow) (?:javascript|cookies|js)\b", r"\bjavascript (?:is|must be|has to be|needs to be) (?:required|disabled|enabled|turned off|not enabled|not available|deactivated)\b", r"\b(?:this|your) browser (?:is|does) not support(?:ed)?\b", r"\bchecking your browser before\b", r"\bverify(?:ing)? (?:that )?you are (?:a )?human\b", r"\b(?:complete|solve) the captcha\b", r"\bi'm not a robot\b",
     r"\bbitte (?:aktivieren|erlauben|schalten) sie (?:javascript|cookies)\b", r"\bjavascript (?:ist|muss) (?:deaktiviert|aktiviert|erforderlich)", r"\b(?:veuillez|merci d'|vous devez) ?(?:activer|autoriser) (?:javascript|les cookies)\b", r"\b(?:por favor,? )?(?:active|activa|habilite|habilita|debe activar) (?:javascript|las cookies|el javascript)\b",
+    r"\b(?:debe|debes|tiene que|tienes que|necesita|necesitas|es necesario) (?:habilitar|activar|tener activado) (?:el )?(?:javascript|las cookies)\b", r"\b(?:abilita|attiva|abilitare|attivare|devi abilitare|è necessario abilitare) javascript\b", r"\b(?:ative|habilite|ativar|é necessário ativar) o? ?javascript\b", r"\b(?:schakel javascript in|javascript inschakelen)\b", r"\b(?:włącz|proszę włączyć) javascript\b",
+    r"\b(?:sie müssen|du musst) javascript (?:aktivieren|einschalten)\b", r"\bil faut activer (?:javascript|les cookies)\b", r"\bjavascript (?:doit être|est) (?:activé|désactivé|requis)", r"\bjavascript (?:está|debe estar) (?:desactivado|activado|habilitado|deshabilitado)", r"\bturn javascript on\b",
     r"\bwe (?:and our partners )?(?:use|value)\b.{0,20}\b(?:cookies|privacy)\b", r"\bthis (?:site|website|page|shop) uses cookies\b", r"\baccept (?:all )?(?:cookies|all)\b.{0,20}\bto continue\b", r"\bwir verwenden cookies\b", r"\bdiese (?:web)?seite (?:verwendet|nutzt) cookies\b", r"\b(?:nous utilisons|ce site utilise) des cookies\b", r"\b(?:usamos|utilizamos|este sitio (?:web )?(?:usa|utiliza)) cookies\b",
     r"\byour session (?:has )?(?:expired|timed out|ended)\b", r"\b(?:ihre|deine) sitzung ist abgelaufen\b", r"\bvotre session a expiré\b", r"\bsu sesión ha (?:expirado|caducado)\b", r"\b(?:sign|log) in to (?:continue|view|read|see)\b", r"\b(?:subscribe|register|sign up) to (?:continue|read|unlock)\b", r"\bturn off your ad ?blocker\b", r"\byou are being redirected\b", r"\bclick here if you are not redirected\b",
 ]
 _CLEAR = re.compile("|".join(f"(?:{p})" for p in CLEAR), re.S)
 # Every wording above holds one of these words (or a heading tag); texts without any skip the search (fixed values).
 KEYS = frozenset(
-    "ipsum adipiscing amet sample dummy placeholder filler test example todo fixme here blindtext platzhaltertext mustertext beispieltext hier ici aquí factice remplissage exemple escriba escribe introduzca introduce inserte ingrese "
+    "ipsum adipiscing amet eiusmod veniam minim labore nostrud irure reprehenderit excepteur cupidatat mollit sample dummy placeholder filler test example todo fixme here blindtext platzhaltertext mustertext beispieltext hier ici aquí factice remplissage exemple escriba escribe introduzca introduce inserte ingrese "
     "relleno prueba ejemplo replace asdf asdfghjk asdfghjkl asdfjkl blah bar qwerty provided available requested error internal gateway nginx apache cloudflare requests found forbidden unauthorized unavailable gone http denied permission "
     "database traceback null nullpointer exception typeerror java keyerror valueerror attributeerror referenceerror runtimeerror fatal stack segmentation warning wrong sorry isn reached loaded displayed longer gefunden existiert serverfehler "
     "verweigert encontrada interno denegado introuvable trouvée erreur refusé interdit indisponible request ray maintenance javascript cookies js browser human captcha robot privacy accept session sitzung sesión sign log subscribe register "

@@ -155,7 +155,7 @@ def test_peaks(spark):
 RESIDUE = [
     "The best thing about {{ item.title | default }} is it.", "I bought the [product_name] last month.", "Dear ${user.name}, hello", "My <brand> arrived.", "Das %order_id% ist gut.", "Hello __product_name__!", "for {STORE_NAME}", "<%= brand %>", "@@order_id@@", "[INSERT BRAND HERE]",
     "Lorem ipsum dolor sit amet, consectetur", "It is lorem ipsum dolor sit amet quiet.", "404 Not Found\nThe requested URL /x/1 was not found on this server.", "<h1>503 Service Unavailable</h1>", "502 Bad Gateway\nnginx", "You need to enable JavaScript to run this app.", "Bitte aktivieren Sie JavaScript, um fortzufahren.",
-    "We use cookies. Accept all to continue.", "Access denied. You don't have permission to access this.", "YOUR SESSION HAS EXPIRED. PLEASE SIGN IN AGAIN.", "Escriba aquí su opinión", "Votre avis ici", "TODO: add review text", "Traceback (most recent call last):\n  x",
+    "We use cookies. Accept all to continue.", "Access denied. You don't have permission to access this.", "YOUR SESSION HAS EXPIRED. PLEASE SIGN IN AGAIN.", "Escriba aquí su opinión", "Votre avis ici", "TODO: add review text", "Debe habilitar JavaScript para ver este contenido.", "I gave ut enim ad minim veniam, quis nostrud exercitation ullamco.", "Traceback (most recent call last):\n  x",
 ]
 REAL = [
     "The app showed error 404 twice, then it worked.", "Their web shop said 503 on launch day.", "The poster really prints lorem ipsum under the picture.", "Had to enable JavaScript in the old browser to register.", "A book on JavaScript with 49 exercises.", "My session with support expired but they called back.",
