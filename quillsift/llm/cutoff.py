@@ -220,7 +220,8 @@ def train(values: DataFrame, sample: int = SAMPLE, seed: int = 7) -> np.ndarray:
             draw = random.Random(zlib.crc32(text.encode()) ^ seed)
             piece = cut(text, draw)
             if not peak or abs(len(text) - peak) > 3:  # at the peak a value is hardly intact
-                out["x"].append(hashed(features(text, peak or 0)))
+                # Whole values end at the peak too, by chance; some are shown that way.
+                out["x"].append(hashed(features(text, len(text) - draw.choice([0, 0, 0, 1, 2]) if peak and draw.random() < 0.2 else peak or 0)))
                 out["y"].append(0)
             if piece is not None:
                 near = len(piece) - draw.choice([0, 0, 0, 1, 2]) if peak and draw.random() < 0.5 else peak or 0
