@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # White space as Python's str.strip sees it (fixed values); valid in Java, RE2 and Python patterns alike.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# A code block: three back quotes, an optional Python tag, a line end, the body, three back quotes.
+# A code block: three back quotes, an optional Python tag, a line end, the body, three back quotes (fixed value).
 FENCED = "(?is)```(?:python|py)?" + SPACE + r"*\n(.*?)```"
-# The two sections of a test bundle in Markdown.
+# The two sections of a test bundle in Markdown (fixed value).
 SECTIONS = f"(?is)##{SPACE}*test setup{SPACE}*```python(.*?)```.*?##{SPACE}*tests{SPACE}*```python(.*?)```"
 
 
