@@ -1,9 +1,11 @@
 """Problem 7: passages of evaluation texts inside a corpus.
 
-Five-word shingles of the items are counted over the whole corpus. In every stretch of
-`run` words of an item the rarest shingle is a seed, so a text that holds such a stretch
-holds a seed. Texts and items that share a seed are aligned: the longest common run of
-words decides exact leaks, a Smith-Waterman score finds edited and paraphrased ones.
+Five-word shingles of the items are looked up in the whole corpus. For exact leaks the
+rarest shingle in every stretch of `run` words of an item is a seed, so a text that holds
+such a stretch holds a seed; for edited copies every shingle is one, because edits break
+the shingles around them and any other may be all that is left. Texts and items that share
+a seed are aligned: the longest common run of words decides exact leaks, a Smith-Waterman
+score finds edited and paraphrased ones.
 """
 
 from __future__ import annotations
@@ -67,7 +69,10 @@ def _shingle_rows(docs: DataFrame, kept: np.ndarray | None, position: bool) -> D
 
 
 def seeds(items: DataFrame, counts: DataFrame, run: int) -> DataFrame:
-    """(gram, item): the rarest shingle of every stretch of `run` words of an item."""
+    """(gram, item): the rarest shingle of every stretch of `run` words of an item.
+
+    Complete for exact runs alone: a stretch with a shingle that no text holds stands in no text.
+    """
     grams = _shingle_rows(items, None, True).join(counts, "gram", "left").select("id", "gram", "pos", F.coalesce("often", F.lit(0)).alias("often"))
     schema = pa.schema([("gram", pa.int64()), ("item", pa.int64())])
     per = max(1, run - SHINGLE + 1)
@@ -110,21 +115,33 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: f
     return best
 
 
-def alignments(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
-    """(id, item, run, score) for every text and item that share a seed.
+def _reaches(a: np.ndarray, b: np.ndarray, run: int) -> bool:
+    """Whether the words shared in any order allow a run of `run` words or the score SIMILAR."""
+    most = min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
+    return most >= run or most >= SIMILAR * min(len(a), len(b)) - 1e-9
+
+
+def alignments(docs: DataFrame, items: DataFrame, run: int = 12, edited: bool = True) -> DataFrame:
+    """(id, item, run, score) for the texts and items that share a seed and enough words.
 
     `docs` and `items` have id and words. score is the alignment score over the best score
-    the shorter of both could reach. Texts shorter than a shingle share no seed. Repeated
-    texts are aligned each.
+    the shorter of both could reach. With `edited` every shingle is a seed, otherwise only
+    those that exact runs need. Pairs whose words rule out both a run of `run` words and the
+    score SIMILAR are left out. Texts shorter than a shingle share no seed. Repeated texts
+    are aligned each.
     """
-    item_grams = _shingle_rows(items, None, False).select("gram").distinct()
+    grams = _shingle_rows(items, None, False)
+    item_grams = grams.select("gram").distinct()
     some = [r["gram"] for r in item_grams.limit(BROADCAST_SHINGLES + 1).collect()]
     kept = np.sort(np.array(some, dtype=np.int64).view(np.uint64)) if len(some) <= BROADCAST_SHINGLES else None
     hits = _shingle_rows(docs, kept, False)
     if kept is None:
         hits = hits.join(item_grams, "gram", "left_semi")
-    counts = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    pairs = hits.join(seeds(items, counts, run), "gram").select("id", "item").distinct()
+    if edited:
+        chosen = grams.withColumnRenamed("id", "item")
+    else:
+        chosen = seeds(items, hits.groupBy("gram").agg(F.count("*").alias("often")), run)
+    pairs = hits.join(chosen, "gram").select("id", "item").distinct()
     both = pairs.join(docs.select("id", F.col("words").alias("_a")), "id").join(items.select(F.col("id").alias("item"), F.col("words").alias("_b")), "item")
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("run", pa.int32()), ("score", pa.float64())])
 
@@ -132,16 +149,19 @@ def alignments(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
         for batch in batches:
             va, oa = tokens.flat(batch.column(2))
             vb, ob = tokens.flat(batch.column(3))
-            runs, scores = [], []
+            at, runs, scores = [], [], []
             for k in range(batch.num_rows):
                 a, b = va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]]
+                if not _reaches(a, b, run):
+                    continue
+                at.append(k)
                 runs.append(longest_run(a, b))
                 scores.append(smith_waterman(a, b) / max(1.0, 2.0 * min(len(a), len(b))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)], pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
 
     return both.select("id", "item", "_a", "_b").mapInArrow(align, "id bigint, item bigint, run int, score double")
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """(id, item): the text holds at least `run` words of the item in unbroken succession."""
-    return alignments(docs, items, run).where(F.col("run") >= run).select("id", "item")
+    return alignments(docs, items, run, edited=False).where(F.col("run") >= run).select("id", "item")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import leaks, mixing, neardup, quota, splits, tokens
+from quillsift.llm import catalog, leaks, mixing, neardup, quota, splits, tokens
 from quillsift.session import cut_lineage
 
 WORD = re.compile(r"\w+")
@@ -174,6 +174,19 @@ def test_leaks(spark):
     assert leaks.leaks(table(docs).limit(0), table(items)).count() == 0 and leaks.leaks(table(docs), table(items).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [8, 10])
+def test_copies_edited_more_often_than_a_run(spark, tmp_path, every):
+    """Every stretch of 12 words holds an edit, so most of its shingles stand in no text, or only in one that is no copy."""
+    draw = random.Random(every)
+    items = [[f"i{j}w{draw.randrange(300)}" for _ in range(60)] for j in range(4)]
+    copies = [(j, " ".join(f"e{j}x{k}x{n}" if n % every == 3 else w for n, w in enumerate(items[j]))) for j in range(4) for k in range(3)]
+    decoys = [" ".join([*items[0][n : n + 5], *[f"d{n}x{k}" for k in range(40)]]) for n in range(56) if any(m % every == 3 for m in range(n, n + 5))]
+    spark.createDataFrame(list(enumerate([t for _, t in copies] + decoys)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark_items.parquet"))
+    want = collections.Counter(j for j, t in copies if leaks.smith_waterman(np.array(t.split()), np.array(items[j])) >= leaks.SIMILAR * 120)
+    assert {r.item_id: (r.exact, r.edited) for r in catalog.p7_items(spark, str(tmp_path)).collect()} == {j: (0, n) for j, n in want.items()} and len(want) == 4
+
+
 def test_leaks_beyond_the_broadcast_bound(spark, monkeypatch):
     table = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").select("id", tokens.hashed_words(F.col("t")).alias("words"))
     item = " ".join(f"a{k}" for k in range(30))
