@@ -4,13 +4,12 @@ Detectors look for unfilled slots and for the wording of filler, error pages and
 Clear findings decide alone. Wording that a writer might use as well is only kept apart
 from real text by evidence on the hosts: the same sentence, numbers aside, under several
 unrelated item addresses, with no term in common with the address slug, the title or the
-rest of the body.
+body's other sentences (those that are not doubtful themselves).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,14 +97,21 @@ def unfilled_slots(text: str) -> list[str]:
     return found
 
 
-def doubtful_sentences(text: str) -> list[str]:
-    """Sentences that consist of doubtful wording, with numbers masked."""
-    found = []
+def split_doubtful(text: str) -> tuple[list[str], set[str]]:
+    """Sentences that consist of doubtful wording, with numbers masked, and the words of all others."""
+    found, rest = [], set()
     for m in _SENTENCE.finditer(text):
         s = m.group().strip().lower()
         if s and len(s) < 80 and DOUBTFUL.fullmatch(s):
             found.append(re.sub(r"\d+", "0", s))
-    return found
+        else:
+            rest.update(words(s))
+    return found, rest
+
+
+def doubtful_sentences(text: str) -> list[str]:
+    """Sentences that consist of doubtful wording, with numbers masked."""
+    return split_doubtful(text)[0]
 
 
 def inspect(text: str | None) -> tuple[bool, list[str]]:
@@ -130,10 +136,10 @@ def residue(docs: DataFrame, hosts: int = HOSTS) -> DataFrame:
         for key, text, title, slug in zip(batch["doc_id"], batch["text"], batch["title"], batch["item_key"]):
             clear, doubtful = inspect(text)
             known = set(words(title)) | set(words((slug or "").replace("-", " ").replace("_", " ")))
+            if doubtful:
+                known |= split_doubtful(text)[1]
             for sentence in [None] if clear else dict.fromkeys(doubtful):
-                own = Counter(words(sentence))
-                terms = set(own) - {"0"}
-                known |= set(Counter(words(text)) - own) if sentence else set()
+                terms = set(words(sentence)) - {"0"}
                 out["doc_id"].append(key)
                 out["clear"].append(clear)
                 out["sentence"].append(sentence)

@@ -187,3 +187,11 @@ def test_residue_operator(spark):
     got = sorted(r.doc_id for r in residue.residue(table).collect())
     assert got == [0, 0, 1, 2, 100, 101, 102]
     assert residue.residue(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Access denied. Access denied.", "Please try again later. Please sign in again.", "Forbidden. Sign in."])
+def test_doubtful_sentences_do_not_excuse_each_other(spark, text):
+    ddl = "doc_id bigint, text string, title string, item_key string"
+    rows = [(k, text, "Nice lamp", f"itm-{k}") for k in range(3)] + [(10 + k, text + " The sign on the door said access denied, please try again.", "Nice lamp", f"itm-{k}") for k in range(3)]
+    rows = [r if r[0] < 10 else (*r[:2], "Sign in, try again: forbidden, access denied", r[3]) for r in rows]
+    assert sorted(r.doc_id for r in residue.residue(spark.createDataFrame(rows, ddl)).collect()) == [0, 1, 2]
