@@ -71,6 +71,13 @@ KEYS = frozenset(
 DOUBTFUL = re.compile(
     r"(?:please |bitte |veuillez |por favor,? )?(?:try again(?: later| in \d+ \w+)?|sign in(?: again)?|log in(?: again)?|reload(?: the page)?|refresh(?: the page)?|oops|loading|not found|forbidden|unauthorized|access denied|service unavailable|no results|coming soon|n/?a|test|untitled|null|undefined|nan|versuchen sie es später(?: erneut)?|réessayez plus tard|inténtelo más tarde|javascript is required|error \d+|código \d+|ref \d+|read more|show more|review|text|title)[.!…]*"
 )
+# Terms of machines and access; a sentence with MACHINE_TERMS of them in which nobody says I needs the evidence too (fixed values).
+MACHINE_TERMS = 3
+MACHINE = frozenset(
+    "server servers request requests error errors page website site url http https browser network traffic connection session access administrator database gateway proxy timeout cookies javascript login account password captcha robot automated ip firewall blocked denied temporary temporarily unavailable maintenance expired computer system systems service detected unusual encountered "
+    "seite webseite fehler anfrage anfragen zugriff netzwerk verbindung sitzung konto browser datenverkehr administrator wartung gesperrt página sitio servidor solicitud solicitudes conexión sesión cuenta acceso navegador tráfico red mantenimiento bloqueado administrador serveur requête requêtes connexion compte accès navigateur trafic réseau erreur système sistema bloqué administrateur".split()
+)
+_SPEAKERS = frozenset("i me my mine myself ich mich mir mein meine meinem meinen meiner je j me m moi mon ma mes yo mi mis mí".split())
 _SENTENCE = re.compile(r"[^.!?\n…]+[.!?…]*")
 
 
@@ -97,12 +104,17 @@ def unfilled_slots(text: str) -> list[str]:
     return found
 
 
+def _machine_like(sentence: str) -> bool:
+    said = set(words(sentence))
+    return len(said & MACHINE) >= MACHINE_TERMS and not said & _SPEAKERS
+
+
 def split_doubtful(text: str) -> tuple[list[str], set[str]]:
-    """Sentences that consist of doubtful wording, with numbers masked, and the words of all others."""
+    """Sentences of doubtful wording or of machine terms, with numbers masked, and the words of all others."""
     found, rest = [], set()
     for m in _SENTENCE.finditer(text):
         s = m.group().strip().lower()
-        if s and len(s) < 80 and DOUBTFUL.fullmatch(s):
+        if s and (len(s) < 80 and DOUBTFUL.fullmatch(s) or _machine_like(s)):
             found.append(re.sub(r"\d+", "0", s))
         else:
             rest.update(words(s))
@@ -110,7 +122,7 @@ def split_doubtful(text: str) -> tuple[list[str], set[str]]:
 
 
 def doubtful_sentences(text: str) -> list[str]:
-    """Sentences that consist of doubtful wording, with numbers masked."""
+    """Sentences of doubtful wording or of machine terms, with numbers masked."""
     return split_doubtful(text)[0]
 
 

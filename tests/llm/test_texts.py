@@ -195,3 +195,11 @@ def test_doubtful_sentences_do_not_excuse_each_other(spark, text):
     rows = [(k, text, "Nice lamp", f"itm-{k}") for k in range(3)] + [(10 + k, text + " The sign on the door said access denied, please try again.", "Nice lamp", f"itm-{k}") for k in range(3)]
     rows = [r if r[0] < 10 else (*r[:2], "Sign in, try again: forbidden, access denied", r[3]) for r in rows]
     assert sorted(r.doc_id for r in residue.residue(spark.createDataFrame(rows, ddl)).collect()) == [0, 1, 2]
+
+
+def test_notices_of_other_wording_need_several_addresses(spark):
+    ddl = "doc_id bigint, text string, title string, item_key string"
+    notices = ["The server encountered a temporary error and could not complete your request.", "Our systems have detected unusual traffic from your computer network."]
+    said = ["My computer lost the network connection twice, fine after that.", "We use it about 12 times a month."]
+    rows = [(10 * n + k, t, "Nice lamp", f"itm-{k}") for n, t in enumerate(notices + said) for k in range(3)] + [(90, notices[0].replace("request", "browser request"), "Nice lamp", "itm-1")]
+    assert sorted(r.doc_id for r in residue.residue(spark.createDataFrame(rows, ddl)).collect()) == [0, 1, 2, 10, 11, 12]
