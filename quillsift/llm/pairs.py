@@ -203,7 +203,7 @@ def pair_defects(instruction: str | None, answer: str | None, language: str) ->
         if first in "{[" and language in ("python", "javascript") and _is_json(answer):
             return ["other_language"]
         if not _STARTS.match(answer):
-            return [] if len(answer) > 60 or not _yaml_like(answer) else ["other_language"]
+            return ["other_language"] if _yaml_like(answer) else []
     text = _normal(answer)
     rest = _STRINGS.sub(" ", _COMMENTS.sub(" ", text))
     bare = not MARKER.search(answer) and bool(_STUB.fullmatch(" ".join(rest.split())))

@@ -203,3 +203,11 @@ def test_notices_of_other_wording_need_several_addresses(spark):
     said = ["My computer lost the network connection twice, fine after that.", "We use it about 12 times a month."]
     rows = [(10 * n + k, t, "Nice lamp", f"itm-{k}") for n, t in enumerate(notices + said) for k in range(3)] + [(90, notices[0].replace("request", "browser request"), "Nice lamp", "itm-1")]
     assert sorted(r.doc_id for r in residue.residue(spark.createDataFrame(rows, ddl)).collect()) == [0, 1, 2, 10, 11, 12]
+
+
+@pytest.mark.parametrize("language", ["python", "javascript"])
+def test_flat_yaml_of_any_length(language):
+    for lines in (2, 4, 30):
+        text = "\n".join(f"field{k}: demo" for k in range(lines))
+        assert pairs.pair_defects("Write a function.", text, language) == ["other_language"]
+    assert pairs.pair_defects("Write a function.", "total = 0\nfor k in range(3):\n    total += k\nprint(total, 'is the sum of all numbers at hand')\n", "python") == []
