@@ -61,11 +61,13 @@ _CLEAR = re.compile("|".join(f"(?:{p})" for p in CLEAR), re.S)
 # Every wording above holds one of these words (or a heading tag); texts without any skip the search (fixed values).
 KEYS = frozenset(
     "ipsum adipiscing amet eiusmod veniam minim labore nostrud irure reprehenderit excepteur cupidatat mollit sample dummy placeholder filler test example todo fixme here blindtext platzhaltertext mustertext beispieltext hier ici aquí factice remplissage exemple escriba escribe introduzca introduce inserte ingrese "
-    "relleno prueba ejemplo replace asdf asdfghjk asdfghjkl asdfjkl blah bar qwerty provided available requested error internal gateway nginx apache cloudflare requests found forbidden unauthorized unavailable gone http denied permission "
+    "relleno prueba ejemplo replace asdf asdfasdf asdfghjk asdfghjkl asdfjkl blah bar qwerty provided available requested error internal gateway nginx apache cloudflare requests found forbidden unauthorized unavailable gone http denied permission "
     "database traceback null nullpointer exception typeerror java keyerror valueerror attributeerror referenceerror runtimeerror fatal stack segmentation warning wrong sorry isn reached loaded displayed longer gefunden existiert serverfehler "
     "verweigert encontrada interno denegado introuvable trouvée erreur refusé interdit indisponible request ray maintenance javascript cookies js browser human captcha robot privacy accept session sitzung sesión sign log subscribe register "
-    "blocker adblocker redirected".split()
-)
+    "blocker adblocker redirected "
+    # run together with the next or the previous word
+    "todoadd todowrite todoinsert todofill todoreplace gatewaynginx gatewayapache gatewaycloudflare".split()
+) | {f"{code}gateway" for code in range(400, 600)}
 
 # Wording a writer may use too; a whole sentence of it needs the evidence (fixed values).
 DOUBTFUL = re.compile(

@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +213,34 @@ def test_flat_yaml_of_any_length(language):
         text = "\n".join(f"field{k}: demo" for k in range(lines))
         assert pairs.pair_defects("Write a function.", text, language) == ["other_language"]
     assert pairs.pair_defects("Write a function.", "total = 0\nfor k in range(3):\n    total += k\nprint(total, 'is the sum of all numbers at hand')\n", "python") == []
+
+
+def _samples(tree, more):
+    """Texts that take every alternative of a parsed pattern at least once; `more` repeats what may be left out."""
+    parts = []
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(value)])
+        elif op == "BRANCH":
+            parts.append([x for branch in value[1] for x in _samples(branch, more)])
+        elif op == "SUBPATTERN":
+            parts.append(_samples(value[3], more))
+        elif op == "MAX_REPEAT":
+            inner = _samples(value[2], more)
+            parts.append([x * max(value[0], more if value[1] else 0) for x in inner])
+        elif op == "IN":
+            kind, first = str(value[0][0]), value[0][1]
+            parts.append([chr(first) if kind == "LITERAL" else chr(first[0]) if kind == "RANGE" else "0" if "DIGIT" in str(first) else " " if "SPACE" in str(first) else "a"])
+        elif op == "ANY":
+            parts.append([" "])
+    base = [p[0] for p in parts]
+    return ["".join([*base[:k], x, *base[k + 1 :]]) for k, p in enumerate(parts) for x in p] or [""]
+
+
+def test_every_alternative_can_be_reached():
+    for pattern in residue.CLEAR:
+        made = {x for more in (0, 1) for x in _samples(re._parser.parse(pattern), more) if re.search(pattern, x, re.S)}
+        assert made, pattern
+        for text in made:
+            assert residue.inspect(text)[0], (pattern, text)
