@@ -36,6 +36,11 @@ _OPEN_END = re.compile(r"\b(?:and so on|and so forth|and more|et cetera|etc|to b
 _WORD = re.compile(r"[^\W\d]\w*")
 
 
+def _runs(text: str) -> bool:
+    """Whether a text is valid Python or no code at all."""
+    return is_empty(text) or python_problem(text) is None
+
+
 def code_state(code: str) -> str:
     """How a code block ends: whole, whole in another language, broken in its last
     statement, or broken earlier."""
@@ -82,7 +87,7 @@ def features(text: str, peak: int) -> list[str]:
         code, place = "", "after" if fences[-1].end() < len(core) else "fence"
     else:
         code = body
-        place = "code" if re.search(r"[=(){};]", core) or problem_kind(core, "python") is None else "prose"
+        place = "code" if re.search(r"[=(){};]", core) or _runs(core) else "prose"
     state = (code_state(code) if code.strip() else "none") if place == "code" else "none"
     stop = bool(_SENTENCE_END.search(core))
     listed = bool(_LIST_LINE.match(line)) and place != "code"
@@ -141,10 +146,10 @@ def _whole(piece: str) -> bool:
     """A cut that happens to fall on the end of complete content teaches nothing."""
     fences = list(_FENCE.finditer(piece))
     if len(fences) % 2 == 1:
-        return problem_kind(piece[fences[-1].end() + 1 :], "python") is None
+        return _runs(piece[fences[-1].end() + 1 :])
     if fences:
         return bool(_SENTENCE_END.search(piece))
-    return problem_kind(piece, "python") is None
+    return _runs(piece)
 
 
 def piled_lengths(values: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import lru_cache
 
 _ROUND, _SQUARE, _CURLY = 0xE000, 0xE400, 0xE800
 _WORD_BASE = 0x4E00
+#: Results are remembered for token strings up to this length.
+KEPT = 240
 
 
 class SyntaxProblem(Exception):
@@ -66,10 +68,19 @@ class Language:
     """Holds a lexer and the group patterns; `check` raises SyntaxProblem."""
 
     keep_newlines = False
+    brackets = re.compile(r"[()\[\]{}]")
+    closes = {"(": ")", "[": "]", "{": "}"}
 
     def __init__(self) -> None:
-        self.reduce = lru_cache(maxsize=1 << 16)(self._reduce)
-        self.whole = lru_cache(maxsize=1 << 15)(self._whole)
+        self._reduce_short = lru_cache(maxsize=1 << 14)(self._reduce)
+        self._whole_short = lru_cache(maxsize=1 << 12)(self._whole)
+
+    def reduce(self, opening: str, content: str) -> str:
+        """Only short contents are kept, so that the caches stay within some megabytes."""
+        return (self._reduce_short if len(content) <= KEPT else self._reduce)(opening, content)
+
+    def whole(self, content: str) -> bool:
+        return (self._whole_short if len(content) <= KEPT else self._whole)(content)
 
     def lex(self, text: str) -> str:
         raise NotImplementedError
@@ -104,20 +115,20 @@ class Language:
         out: list[str] = []
         stack: list[tuple[str, list[str]]] = []
         pos = 0
-        for m in _BRACKETS.finditer(tokens):
+        for m in self.brackets.finditer(tokens):
             k = m.start()
             if k > pos:
                 out.append(tokens[pos:k])
             pos = k + 1
             c = tokens[k]
-            if c in "([{":
+            if c in self.closes:
                 stack.append((c, out))
                 out = []
             else:
                 if not stack:
                     raise SyntaxProblem("delimiter", "unopened " + c)
                 opening, outer = stack.pop()
-                if _CLOSES[opening] != c:
+                if self.closes[opening] != c:
                     raise SyntaxProblem("delimiter", opening + " closed by " + c)
                 outer.append(self.reduce(opening, "".join(out)))
                 out = outer
@@ -131,13 +142,10 @@ class Language:
             raise SyntaxProblem("statement")
 
 
-_BRACKETS = re.compile(r"[()\[\]{}]")
-_CLOSES = {"(": ")", "[": "]", "{": "}"}
-_BASES = {"(": _ROUND, "[": _SQUARE, "{": _CURLY}
 MARKER = re.compile(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?|\|{7}(?: .*)?)\r?$", re.M)
 
 
-def _bits(checks: list[bool]) -> int:
+def bits(checks: list[bool]) -> int:
     return sum(1 << k for k, on in enumerate(checks) if on)
 
 
@@ -239,12 +247,16 @@ class JavaScript(Language):
     REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 
     def lex(self, text: str) -> str:
-        code = self.a.code
         out: list[str] = []
-        add = out.append
-        pos, size = (text.index("\n") if "\n" in text else len(text)) if text.startswith("#!") else 0, len(text)
+        pos = (text.index("\n") if "\n" in text else len(text)) if text.startswith("#!") else 0
         if text.startswith("\ufeff"):
             pos = 1
+        self._scan(text, pos, out, False)
+        return "".join(out)
+
+    def _scan(self, text: str, pos: int, out: list[str], hole: bool) -> int:
+        """Lexes from pos to the end, or in a part of a template to the brace that ends it; gives the place after."""
+        code, add, size, depth = self.a.code, out.append, len(text), 0
         while pos < size:
             restart = None
             for m in self.TOKEN.finditer(text, pos):
@@ -257,6 +269,10 @@ class JavaScript(Language):
                     add(code.get(m.group(), code["ident"]) if m.group() in self.WORDS else code["ident"])
                 elif kind == "op":
                     t = m.group()
+                    if hole and t in "{}":
+                        if t == "}" and not depth:
+                            return pos
+                        depth += 1 if t == "{" else -1
                     if t in ("/", "/=") and not (out and (out[-1] in self._prev_operand or out[-1] in ")]}")):
                         r = self.REGEX.match(text, pos)
                         if not r:
@@ -286,7 +302,9 @@ class JavaScript(Language):
                     self._stuck(text, pos)
                 break
             pos = restart
-        return "".join(out)
+        if hole:
+            raise SyntaxProblem("literal", "template")
+        return pos
 
     @staticmethod
     def _stuck(text: str, pos: int) -> None:
@@ -307,41 +325,18 @@ class JavaScript(Language):
             if c == "\\":
                 pos += 2
             elif c == "$" and text.startswith("${", pos):
-                end = self._hole(text, pos + 2)
-                if not self.reduce("(", self.tree_inner(text[pos + 2 : end])) in self._expr_chars:
+                inner: list[str] = []
+                pos = self._scan(text, pos + 2, inner, True) + 1
+                if self.reduce("(", self.tree("".join(inner))) not in self._expr_chars:
                     raise SyntaxProblem("statement", "template part")
-                pos = end + 1
             else:
                 pos += 1
         raise SyntaxProblem("literal", "template")
 
-    def _hole(self, text: str, pos: int) -> int:
-        depth, size = 0, len(text)
-        while pos < size:
-            c = text[pos]
-            if c == "}" and depth == 0:
-                return pos
-            if c in "{}":
-                depth += 1 if c == "{" else -1
-            elif c == "`":
-                pos = self._template(text, pos + 1)
-                continue
-            elif c in "'\"":
-                m = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"").match(text, pos)
-                if not m:
-                    raise SyntaxProblem("literal", "string")
-                pos = m.end()
-                continue
-            pos += 1
-        raise SyntaxProblem("literal", "template")
-
     @property
     def _expr_chars(self) -> str:
         return self.a.names["P:expr"]
 
-    def tree_inner(self, text: str) -> str:
-        return self.tree(self.lex(text))
-
     def _flat(self, content: str) -> str:
         """Without newlines."""
         return content.replace(self.a.code["nl"], "")
@@ -355,15 +350,15 @@ class JavaScript(Language):
         flat = self._flat(content)
         good = not self._bad_target.search(flat)
         if opening == "(":
-            return chr(_ROUND + _bits([good and bool(self.expr.match(flat)), good and bool(self.args.match(flat)), bool(self.params.match(flat)), good and bool(self.loop.match(flat)) and not self.loop_const.search(flat)]))
+            return chr(_ROUND + bits([good and bool(self.expr.match(flat)), good and bool(self.args.match(flat)), bool(self.params.match(flat)), good and bool(self.loop.match(flat)) and not self.loop_const.search(flat)]))
         if opening == "[":
-            return chr(_SQUARE + _bits([good and bool(self.expr.match(flat)), good and bool(self.array.match(flat)), bool(self.target_array.match(flat))]))
+            return chr(_SQUARE + bits([good and bool(self.expr.match(flat)), good and bool(self.array.match(flat)), bool(self.target_array.match(flat))]))
         lines = self._lines(content)
         good = good and not self.unpaired(content) and not self.const.search(flat)
         free = bool(self._ret_chars.search(self._own_ret.sub("", lines)))
         inner = bool(self._ret_chars.search(self._method_ret.sub("", self._own_ret.sub("", flat))))
         block = good and bool(self.block.match(lines))
-        return chr(_CURLY + _bits([
+        return chr(_CURLY + bits([
             block, good and not inner and bool(self.object.match(flat)), bool(self.target_object.match(flat)),
             good and not inner and bool(self.body.match(lines)), good and bool(self.cases.match(lines)), free if block else inner,
         ]))
@@ -495,10 +490,10 @@ class Java(Language):
     def _reduce(self, opening: str, content: str) -> str:
         ways = self._ways(content)
         if opening == "(":
-            return chr(_ROUND + _bits([any(f.match(w) for w in ways) for f in self.forms]))
+            return chr(_ROUND + bits([any(f.match(w) for w in ways) for f in self.forms]))
         if opening == "[":
-            return chr(_SQUARE + _bits([not content, any(self.index.match(w) for w in ways)]))
-        return chr(_CURLY + _bits([any(p.match(w) for w in ways) and not (k in (0, 3) and self.unpaired(content)) for k, p in enumerate((self.block, self.array, self.body, self.cases, self.enum))]))
+            return chr(_SQUARE + bits([not content, any(self.index.match(w) for w in ways)]))
+        return chr(_CURLY + bits([any(p.match(w) for w in ways) and not (k in (0, 3) and self.unpaired(content)) for k, p in enumerate((self.block, self.array, self.body, self.cases, self.enum))]))
 
     def _ways(self, content: str) -> list[str]:
         """The content with type arguments as one token each, and as it stands if that differs.
@@ -654,10 +649,10 @@ class C(Language):
     def _reduce(self, opening: str, content: str) -> str:
         content = self.ternaries(content)
         if opening == "(":
-            return chr(_ROUND + _bits([bool(f.match(content)) for f in self.forms]))
+            return chr(_ROUND + bits([bool(f.match(content)) for f in self.forms]))
         if opening == "[":
-            return chr(_SQUARE + _bits([bool(self.index.match(content))]))
-        return chr(_CURLY + _bits([not self.unpaired(content) and bool(self.block.match(content)), *(bool(p.match(content)) for p in (self.init, self.fields, self.enum))]))
+            return chr(_SQUARE + bits([bool(self.index.match(content))]))
+        return chr(_CURLY + bits([not self.unpaired(content) and bool(self.block.match(content)), *(bool(p.match(content)) for p in (self.init, self.fields, self.enum))]))
 
     def _whole(self, content: str) -> bool:
         return bool(self.unit.match(self.ternaries(content)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.grammar import MARKER, SyntaxProblem
-from quillsift.llm.syntax import brace_language, parses, problem_kind, python_problem
+from quillsift.llm.syntax import grammar_of, parses, problem_kind, python_problem
 from quillsift.llm.values import WORD, is_empty, language_name, map_batches, words
 from quillsift.session import spread
 
@@ -161,7 +161,7 @@ def breaks_off(text: str, language: str) -> bool:
             tail = text.split("\n")[line:]
             return cut or all(not x.strip() or x[:1].isspace() for x in tail)
         return line >= last and (cut or body[-1:] in ":,=+-*/%(&|<\\[{." or "unterminated" in message or "expected" in message)
-    machine = brace_language(language)
+    machine = grammar_of(language)
     try:
         tokens = machine.lex(text)
     except SyntaxProblem as e:

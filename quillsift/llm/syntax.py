@@ -2,14 +2,14 @@
 
 Every value goes through its language's lexer and a pushdown stack, which find
 unterminated literals, unbalanced delimiters, premature ends and conflict markers.
-For JavaScript, Java and C the stack also reduces each closed group against the
-grammar (module `grammar`); for Python the interpreter's own parser confirms.
+The stack also reduces each closed group against the language's grammar (modules
+`grammar` and `python_grammar`); no parser of the interpreter takes part in the verdict.
 """
 
 from __future__ import annotations
 
 import ast
-import re
+import sys
 import warnings
 from functools import lru_cache
 
@@ -17,38 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.grammar import MARKER, C, Java, JavaScript, SyntaxProblem
+from quillsift.llm.python_grammar import Python
 from quillsift.llm.values import is_empty, language_name, map_batches
 from quillsift.session import spread
 
-PY_TOKEN = re.compile(
-    r"""(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<com>\#[^\n]*)"""
-    r"""|(?P<str>[rRbBuUfFtT]{0,2}(?:\"{3}(?s:(?:[^\\]|\\.)*?)\"{3}|'{3}(?s:(?:[^\\]|\\.)*?)'{3}|"(?:[^"\\\n]|\\(?s:.))*"|'(?:[^'\\\n]|\\(?s:.))*'))|(?P<bad>['"])"""
-)
-_PAIRS = {")": "(", "]": "[", "}": "{"}
-
+LANGUAGES = ("python", "javascript", "java", "c")
 
 @lru_cache(maxsize=None)
-def brace_language(name: str):
-    return {"javascript": JavaScript, "java": Java, "c": C}[name]()
+def grammar_of(name: str):
+    return {"python": Python, "javascript": JavaScript, "java": Java, "c": C}[name]()
 
 
-def python_stack(text: str) -> str | None:
-    """What lexer and stack say of a Python text: literal, delimiter, end or nothing."""
-    stack: list[str] = []
-    for m in PY_TOKEN.finditer(text):
-        kind = m.lastgroup
-        if kind == "open":
-            stack.append(m.group())
-        elif kind == "close":
-            if not stack or stack.pop() != _PAIRS[m.group()]:
-                return "delimiter"
-        elif kind == "bad":
-            return "literal"
-    return "end" if stack else None
+def check(text: str, language: str) -> None:
+    """Raises SyntaxProblem if the text is no valid file. Nesting has no bound but memory."""
+    grammar = grammar_of(language)
+    try:
+        grammar.check(text)
+    except RecursionError:  # templates within templates
+        usual = sys.getrecursionlimit()
+        sys.setrecursionlimit(usual + 2 * len(text))
+        try:
+            grammar.check(text)
+        finally:
+            sys.setrecursionlimit(usual)
 
 
 def python_problem(text: str) -> SyntaxError | None:
-    """The parser's verdict on a Python text."""
+    """The interpreter's own verdict on a Python text, with the place; problem 2 does not use it."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -62,11 +57,9 @@ def python_problem(text: str) -> SyntaxError | None:
 
 def parses(text: str, language: str) -> bool:
     """Whether the text is a valid file of one of the four languages; kinds of defects do not matter."""
-    if language == "python":
-        return python_problem(text) is None
     try:
-        brace_language(language).check(text)
-    except (SyntaxProblem, RecursionError):
+        check(text, language)
+    except SyntaxProblem:
         return False
     return True
 
@@ -77,21 +70,12 @@ def problem_kind(text: str | None, language: str) -> str | None:
 
     An empty value (see `is_empty`) is no file. Unknown languages are not judged.
     """
-    if is_empty(text):
-        return None
-    if language == "python":
-        kind = python_stack(text)
-        if python_problem(text) is None:
-            return None
-        return "marker" if MARKER.search(text) else kind or "statement"
-    if language not in ("javascript", "java", "c"):
+    if is_empty(text) or language not in LANGUAGES:
         return None
     try:
-        brace_language(language).check(text)
+        check(text, language)
     except SyntaxProblem as e:
         return "marker" if MARKER.search(text) else e.kind
-    except RecursionError:
-        return "delimiter"
     return None
 
 
