@@ -1,10 +1,13 @@
 """Problem 6: near-duplicate records, by a chosen-path set similarity join.
 
 Each record is a set of numbered words. In each of several independent trees a record
-follows a path of minwise words, drawn with weights that favour rare words, until the
-node it reaches is expected to be small; records of one node are compared with each
-other. A pair of overlap t takes the same step with a probability of about its weighted
-similarity, and the number of trees is set so that the stated recall is reached.
+follows a path of minwise words; all records that took the same words stand in one node.
+Two sets choose the same word with a probability of their Jaccard similarity, which is at
+least t / (2 - t) for an overlap of t, whatever the words are. Paths end where a node is
+expected to be small. The nodes are then counted: records of a small node are compared
+with each other, larger nodes branch again, in several children for each record, as long
+as that pays; what cannot be separated is compared in blocks. No pair is ruled out but by
+bounds that hold for certain.
 """
 
 from __future__ import annotations
@@ -19,85 +22,137 @@ from pyspark.sql import functions as F
 from quillsift.llm import tokens
 from quillsift.session import cut_lineage, spread
 
-# A step keeps a pair of overlap 0.85 with this probability or more, by the weights of `rarity`.
-STEP = 0.6
 RECALL = 0.9995
-NODE = 4.0
-DEPTH = 6
-#: Of 128 sketch bits, pairs of overlap 0.85 (Jaccard 0.74) agree in 111 on average, deviation 3.8;
-#: fewer than 94 agree for one such pair in 100,000.
-AGREE = 94
-
-
-def trees_for(recall: float, depth: int, step: float = STEP) -> int:
-    """Independent trees needed so that a pair is missed in all of them with 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - step**depth)))
-
-
-def _paths(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, weight: np.ndarray, share: np.ndarray, n: int, trees: int, depth: int, docs: int) -> list[np.ndarray]:
-    """For each tree the key of the node every row ends in."""
-    found = []
-    inverse = 1.0 / weight
-    for tree in range(trees):
-        key = np.full(n, np.uint64(tree + 1))
-        size = np.full(n, float(docs))
-        for level in range(depth):
-            open_rows = size > NODE
-            if level and not open_rows.any():
-                break
-            salt = np.uint64((0x9E3779B97F4A7C15 * (tree * 8 + level + 1)) & 0xFFFFFFFFFFFFFFFF)
-            with np.errstate(over="ignore"):
-                u = (tokens.mix(ids + salt) >> np.uint64(40)).astype(np.float32) + 0.5
-            race = -np.log(u * np.float32(2.0**-24)) * inverse
-            best = tokens.reduce_rows(np.minimum, race, starts, np.float32(np.inf))
-            hit = np.flatnonzero(race == best[rows])
-            chosen = np.zeros(n, dtype=np.int64)
-            chosen[rows[hit[::-1]]] = hit[::-1]
-            with np.errstate(over="ignore"):
-                step = tokens.mix(key * np.uint64(31) + ids[chosen]) if len(ids) else key
-            key = np.where(open_rows, step, key)
-            size = np.where(open_rows, size * share[chosen] if len(ids) else 0.0, size)
-        found.append(key)
-    return found
-
-
-def fingerprints(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, int]:
-    """id, class keys, word count, sketch bits and one path key for each tree; the tree count.
+#: A path goes on while its node is expected to hold more records than this.
+NODE = 32
+#: Nodes up to this size are compared; larger ones branch again.
+SMALL = 128
+#: Rows of one block where a group is compared with itself.
+BLOCK = 1000
+#: Steps and children of a branch. With the four children a pair that shares a node shares
+#: one of them with a probability of KEPT or more.
+STEPS, CHILDREN = 2, 4
+FACTS = ("rep", "n", "odd0", "odd1", "odd2", "odd3")
+
+
+def step(threshold: float) -> float:
+    """The least probability that two records of this overlap choose the same word."""
+    return threshold / (2 - threshold)
+
+
+def kept(threshold: float) -> float:
+    """The least probability that a pair of one node shares a child of it."""
+    return 1 - (1 - step(threshold) ** STEPS) ** CHILDREN
+
+
+def trees_for(recall: float, depth: int, threshold: float) -> int:
+    """Independent trees needed so that a pair at the threshold is missed in all of them with
+    1 - recall, if its node branched once more in every tree."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept(threshold) * step(threshold) ** depth)))
+
+
+def depth_for(counts: np.ndarray, rows: int, node: float = NODE) -> int:
+    """Steps after which a node is expected to be small, for words drawn as they occur."""
+    often = counts[counts > 0]
+    if rows <= node or not len(often):
+        return 1
+    mean = float((often * -np.log(np.minimum(1.0, often / rows))).sum() / often.sum())
+    return max(1, math.ceil(math.log(rows / node) / max(mean, 1e-3)))
+
+
+def _chosen(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The minwise id of every row; `seed` names the function, one for all rows or one for each.
+
+    Ids are hashes already, so a product with an odd number orders them anew, and its
+    inverse gives the least one back.
+    """
+    with np.errstate(over="ignore"):
+        odd, flip = tokens.mix(seed) | np.uint64(1), tokens.mix(seed ^ np.uint64(0x5851F42D4C957F2D))
+        inverse = odd.copy()
+        for _ in range(6):
+            inverse = inverse * (np.uint64(2) - odd * inverse)
+        spread_out = len(seed) > 1
+        least = tokens.reduce_rows(np.minimum, (ids ^ (flip[rows] if spread_out else flip)) * (odd[rows] if spread_out else odd), starts, np.uint64(0))
+        return (least * inverse) ^ flip
+
+
+def walk(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, key: np.ndarray, size: np.ndarray, share: np.ndarray, depth: int, seed: np.ndarray, least: int = 0) -> np.ndarray:
+    """The key of the node every row ends in, from the node `key` that holds `size` records.
+
+    `share` is the part of all records that has a word, by counters; `seed` sets the minwise
+    functions of the path, for all rows or for each. At least `least` steps are taken.
+    """
+    size = size.astype(np.float64).copy()
+    for level in range(depth):
+        going = (size > NODE) | (level < least)
+        if not going.any():
+            break
+        with np.errstate(over="ignore"):
+            word = _chosen(ids, rows, starts, seed + np.uint64(level))
+            key = np.where(going, tokens.mix(key * np.uint64(31) + word + np.uint64(level)), key)
+        size = np.where(going, size * share[tokens.slots(word)], size)
+    return key
+
+
+def fingerprints(docs: DataFrame, recall: float = RECALL, threshold: float = 0.85) -> tuple[DataFrame, int]:
+    """id, class keys, word count, parity bits and the node of each tree (`paths`, an array); the tree count.
 
     `docs` has id and words (array<bigint>). Rows without words get a key of their own.
     """
-    counts, total = tokens.word_counts(docs, ["words"])
-    weights = tokens.rarity(counts, total)
+    counts, total = tokens.id_counts(docs, ["words"])
     shares = np.minimum(1.0, counts / max(total, 1)).astype(np.float32)
-    # A path of rare words ends after so many steps; paths that meet frequent words go deeper.
-    rare = min(0.05, 4 * float(counts.sum()) / len(counts) / max(total, 1) + 1 / max(total, 1))
-    steps = max(1, math.ceil(math.log(max(total, 2) / NODE) / -math.log(max(rare, 1e-12))))
-    trees = trees_for(recall, steps)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((weights, shares))
-    names = ["id", "k1", "k2", "n", "bits0", "bits1", *[f"p{t}" for t in range(trees)]]
-    schema = pa.schema([(c, pa.int32() if c == "n" else pa.int64()) for c in names])
+    depth = depth_for(counts, total)
+    trees = trees_for(recall, depth, threshold)
+    held = docs.sparkSession.sparkContext.broadcast(shares)
+    names = ["id", "k1", "k2", "n", "odd0", "odd1", "odd2", "odd3"]
+    schema = pa.schema([(c, pa.int32() if c == "n" else pa.int64()) for c in names] + [("paths", pa.list_(pa.int64()))])
 
     def run(batches):
-        w_all, s_all = held.value
+        share = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 n = part.num_rows
-                values, offsets = tokens.flat(part.column(1))
-                rows0 = np.repeat(np.arange(n), np.diff(offsets))
-                ids, rows, repeat = tokens.numbered(values, offsets)
-                slot = tokens.slots(values[np.lexsort((values, rows0))])
+                ids, rows = tokens.numbered(*tokens.flat(part.column(1)))
                 starts = tokens.segments(rows, n)
                 k1, k2 = tokens.multiset_key(ids, starts)
-                found = _paths(ids, rows, starts, w_all[slot], s_all[slot], n, trees, DEPTH, total)
-                columns = [part.column(0), k1.view(np.int64), k2.view(np.int64), np.diff(starts).astype(np.int32), *[b.view(np.int64) for b in tokens.bit_sketch(ids, rows, n)], *[p.view(np.int64) for p in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
+                ends = np.stack([walk(ids, rows, starts, np.full(n, t + 1, dtype=np.uint64), np.full(n, total), share, depth, np.array([1000 * (t + 1)], dtype=np.uint64)) for t in range(trees)], axis=1)
+                columns = [part.column(0), k1.view(np.int64), k2.view(np.int64), np.diff(starts).astype(np.int32), *tokens.parities(ids, rows, n)]
+                paths = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * trees, pa.int32()), pa.array(ends.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], paths], schema=schema)
 
-    ddl = ", ".join(f"{c} {'int' if c == 'n' else 'bigint'}" for c in names)
+    ddl = ", ".join(f"{c} {'int' if c == 'n' else 'bigint'}" for c in names) + ", paths array<bigint>"
     return docs.select("id", "words").mapInArrow(run, ddl), trees
 
 
+def branches(members: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
+    """(rep, parent, node): CHILDREN nodes for every record of a large node, by functions of the node's own.
+
+    `members` has rep, node, size (of the node) and words.
+    """
+    share = np.minimum(1.0, counts / max(total, 1)).astype(np.float32)
+    held = members.sparkSession.sparkContext.broadcast(share)
+    schema = pa.schema([(c, pa.int64()) for c in ("rep", "parent", "node")])
+
+    def run(batches):
+        part_of = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                n = part.num_rows
+                ids, rows = tokens.numbered(*tokens.flat(part.column(3)))
+                starts = tokens.segments(rows, n)
+                parent = np.asarray(part.column(1)).view(np.uint64)
+                size = np.asarray(part.column(2))
+                for child in range(CHILDREN):
+                    with np.errstate(over="ignore"):
+                        start = tokens.mix(parent + np.uint64(child + 1))
+                    node = walk(ids, rows, starts, start, size, part_of, STEPS, tokens.mix(start), 1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64))], schema=schema)
+
+    return members.select("rep", "node", "size", "words").mapInArrow(run, "rep bigint, parent bigint, node bigint")
+
+
 def with_words(rows: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     """id and words of the fields taken together as one text; NULL fields count as empty."""
     text = F.concat_ws("\n", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
@@ -117,10 +172,10 @@ def shared_words(frame: DataFrame, left: list[str], right: list[str], keep: list
 
     def overlap(one, two, n: int) -> np.ndarray:
         (va, oa), (vb, ob) = tokens.flat(one), tokens.flat(two)
-        ia, ra, _ = tokens.numbered(va, oa)
-        ib, rb, _ = tokens.numbered(vb, ob)
+        ia, ra = tokens.numbered(va, oa)
+        ib, rb = tokens.numbered(vb, ob)
         ids, rows = np.concatenate([ia, ib]), np.concatenate([ra, rb])
-        order = np.lexsort((ids, rows))
+        order = np.argsort((rows.astype(np.uint64) << np.uint64(52)) | (ids >> np.uint64(12)))
         ids, rows = ids[order], rows[order]
         same = (ids[1:] == ids[:-1]) & (rows[1:] == rows[:-1])
         shared = np.bincount(rows[1:][same], minlength=n)
@@ -139,6 +194,19 @@ def shared_words(frame: DataFrame, left: list[str], right: list[str], keep: list
     return frame.select(*columns).mapInArrow(run, ", ".join([*[f"{c} bigint" for c in keep], *[f"{c} double" for c in names[width:]]]))
 
 
+def self_pairs(rows: DataFrame, group: str, size: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Two sides x and y of a join of every group with itself, in blocks of BLOCK rows.
+
+    Joined on `group` and `_block`, each pair of rows of a group meets twice, once in either
+    order, and no task holds more than BLOCK rows of x with the rows of y, so a group of any
+    size is spread over many tasks. `rep` tells rows apart.
+    """
+    parts = F.ceil(F.col(size) / BLOCK).cast("int")
+    one = rows.select(group, *keep, F.pmod(F.xxhash64("rep"), parts).cast("int").alias("_block"))
+    two = rows.select(group, *keep, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_block"))
+    return one.alias("x"), two.alias("y")
+
+
 class NearDuplicates:
     """Classes of equal records and the links between them, for one table.
 
@@ -149,25 +217,50 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, threshold: float = 0.85, recall: float = RECALL):
         self.docs, self.threshold = docs, threshold
-        prints, trees = fingerprints(docs, recall)
+        prints, self.trees = fingerprints(docs, recall, threshold)
         self.prints = cut_lineage(prints.where("n > 0"))
-        paths = [f"p{t}" for t in range(trees)]
-        self.classes = self.prints.groupBy("k1", "k2").agg(
-            F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bits0").alias("bits0"), F.max("bits1").alias("bits1"), *[F.max(p).alias(p) for p in paths]
-        )
-        self.paths = paths
+        odd = [F.max(f"odd{k}").alias(f"odd{k}") for k in range(4)]
+        self.classes = cut_lineage(self.prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *odd, F.first("paths").alias("paths")))
+
+    def nodes(self) -> tuple[DataFrame, DataFrame | None]:
+        """(rows of small nodes, rows of groups that branching does not separate), with FACTS, node and size.
+
+        A large node is given up to branching only if its children need less than half of
+        its comparisons, so the work shrinks with every turn and the loop ends.
+        """
+        known = self.classes.select(*FACTS)
+        level = self.classes.select(*FACTS, F.explode("paths").alias("node"))
+        small, tight, counted = [], [], None
+        while True:
+            big = cut_lineage(level.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > SMALL))
+            if big.limit(1).count() == 0:
+                small.append(level)
+                break
+            small.append(level.join(big, "node", "left_anti").select(*FACTS, "node"))
+            counted = counted or tokens.id_counts(self.docs, ["words"])
+            members = cut_lineage(level.join(big, "node").select(*FACTS, "node", "size"))
+            words = self.docs.select(F.col("id").alias("rep"), "words")
+            children = cut_lineage(branches(members.select("rep", "node", "size").join(words, "rep"), *counted))
+            work = children.groupBy("parent", "node").agg(F.count("*").alias("n")).groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+            pays = F.col("work") < 0.5 * F.col("size").cast("double") * F.col("size")
+            judged = cut_lineage(big.join(work, F.col("node") == F.col("parent")).select("node", pays.alias("pays")))
+            tight.append(members.join(judged.where("not pays"), "node").select(*FACTS, "node", "size"))
+            level = children.join(judged.where("pays").select(F.col("node").alias("parent")), "parent").select("rep", "node").join(known, "rep").select(*FACTS, "node")
+        together = lambda frames: frames[0] if len(frames) == 1 else together([frames[0].unionByName(frames[1]), *frames[2:]])
+        return together(small), together(tight) if tight else None
 
     def candidates(self) -> DataFrame:
-        """(a, b), a < b: representatives that share a node and whose sketches agree."""
-        nodes = self.classes.select(F.col("rep"), "n", "bits0", "bits1", F.explode(F.array(*self.paths)).alias("node"))
-        one, two = nodes.alias("x"), nodes.alias("y")
-        differ = [F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in (0, 1)]
-        agree = 128 - differ[0] - differ[1]
-        long, short = F.greatest("x.n", "y.n"), F.least("x.n", "y.n")
-        met = one.join(
-            two, (F.col("x.node") == F.col("y.node")) & (F.col("x.rep") < F.col("y.rep")) & (short >= long * F.lit(self.threshold - 1e-12)) & (agree >= AGREE)
-        )
-        return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        """(a, b), a < b: representatives that share a node and can overlap by their sizes and parity bits."""
+        small, tight = self.nodes()
+        near = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(self.threshold - 1e-12))
+        near = near & tokens.differ_at_most("x", "y", tokens.allowed_difference(F.col("x.n"), F.col("y.n"), self.threshold))
+        both = lambda met: met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        few = both(small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & near))
+        if tight is None:
+            return few.distinct()
+        x, y = self_pairs(tight, "node", "size", list(FACTS))
+        many = both(x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x._block") == F.col("y._block")) & near))
+        return few.unionByName(many).distinct()
 
     def links(self) -> DataFrame:
         """(a, b, overlap0): the representatives whose overlap reaches the threshold."""
@@ -182,7 +275,11 @@ class NearDuplicates:
         return self.prints.select("k1", "k2", "id").join(reps, ["k1", "k2"]).select("rep", "id", "copies")
 
     def pairs(self) -> DataFrame:
-        """(id_a, id_b), the smaller first: every pair of records that overlap."""
+        """(id_a, id_b), the smaller first: every pair of records that overlap.
+
+        Classes are joined with their members, and with themselves, in blocks, so that a
+        class that holds a third of all rows is no single task.
+        """
         members = self.members()
         found = self.links().select("a", "b")
         across = (
@@ -190,11 +287,10 @@ class NearDuplicates:
             .join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
             .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         )
-        many = members.where("copies > 1")
-        within = (
-            many.select("rep", F.col("id").alias("id_a")).join(many.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
-        )
-        return across.unionByName(within)
+        many = members.where("copies > 1").select(F.col("rep").alias("class"), F.col("id").alias("rep"), "copies")
+        x, y = self_pairs(many, "class", "copies", ["rep"])
+        same = (F.col("x.class") == F.col("y.class")) & (F.col("x._block") == F.col("y._block")) & (F.col("x.rep") < F.col("y.rep"))
+        return across.unionByName(x.join(y, same).select(F.col("x.rep").alias("id_a"), F.col("y.rep").alias("id_b")))
 
     def groups(self, ids: DataFrame) -> DataFrame:
         """(id, group_id, links) for every record of `ids`: the least id of its connected
@@ -213,16 +309,17 @@ class NearDuplicates:
         return ids.join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
     Labels spread to neighbours and then jump to their label's label, so chains shrink by
-    powers of two; every round ends in a checkpoint. Without edges the result is empty.
+    powers of two; every round ends in a checkpoint, and the rounds end when no label
+    changes. Labels only ever fall, so that comes. Without edges the result is empty.
     """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
     labels = cut_lineage(labels)
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("l"), F.col("label").alias("old"))
         jump = spread.select(F.col("node").alias("t"), F.col("l").alias("tl"))
@@ -230,5 +327,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            break
-    return labels
+            return labels
