@@ -4,8 +4,9 @@ Five-word shingles of the items are looked up in the whole corpus. For exact lea
 rarest shingle in every stretch of `run` words of an item is a seed, so a text that holds
 such a stretch holds a seed; for edited copies every shingle is one, because edits break
 the shingles around them and any other may be all that is left. Texts and items that share
-a seed are aligned: the longest common run of words decides exact leaks, a Smith-Waterman
-score finds edited and paraphrased ones.
+a seed are aligned by Smith-Waterman, many pairs at a time. Without gaps and mismatches
+the alignment is the longest passage that both hold, and its score decides exact leaks;
+with both allowed at a price it finds edited and paraphrased copies.
 """
 
 from __future__ import annotations
@@ -16,12 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import tokens
+from quillsift.session import cut_lineage
 
 SHINGLE = 5
-#: Item shingles up to this number (16 MB) are broadcast to filter the corpus; beyond it they are joined.
-BROADCAST_SHINGLES = 2_000_000
+#: Item shingles up to this number (4 MB) are broadcast to filter the corpus; beyond it they are joined.
+BROADCAST_SHINGLES = 500_000
+#: Keys over which a seed of many texts is spread when shingles are joined.
+SALTS = 32
 #: Smith-Waterman score, as a share of the shorter text's best possible score, from which a copy counts as edited.
 SIMILAR = 0.8
+#: Points of an alignment: (match, mismatch, gap). EXACT allows neither mismatch nor gap.
+EDITED, EXACT = (2.0, -1.0, -1.0), (2.0, -np.inf, -np.inf)
+#: Cells of one row of the alignments that are computed together.
+CELLS = 1 << 18
 
 
 def shingles(values: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,59 +97,75 @@ def seeds(items: DataFrame, counts: DataFrame, run: int) -> DataFrame:
     return grams.groupBy("id").applyInArrow(pick, "gram bigint, item bigint")
 
 
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """The most words of b that stand in a in unbroken succession."""
-    best, last = 0, np.zeros(len(a) + 1, dtype=np.int32)
-    for word in b:
-        now = np.zeros(len(a) + 1, dtype=np.int32)
-        hit = np.flatnonzero(a == word)
-        if len(hit):
-            now[hit + 1] = last[hit] + 1
-            best = max(best, int(now.max()))
-        last = now
-    return best
-
+def smith_waterman(texts: list[np.ndarray], items: list[np.ndarray], points: tuple[float, float, float] = EDITED) -> np.ndarray:
+    """Local alignment scores over words of pairs (texts[k], items[k]), all pairs a row at a time.
 
-def smith_waterman(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> float:
-    """Local alignment score over words; each row is computed at once, gaps along it by a running maximum."""
-    slope = -gap * np.arange(len(a))
-    best, last = 0.0, np.zeros(len(a))
-    for word in b:
-        diagonal = np.concatenate([[0.0], last[:-1]]) + np.where(a == word, match, mismatch)
-        now = np.maximum(0.0, np.maximum(diagonal, last + gap))
-        now = np.maximum.accumulate(now + slope) - slope
-        best = max(best, float(now.max(initial=0.0)))
-        last = now
+    Gaps along a row are a running maximum. Texts and items are filled up with signs that
+    match nothing.
+    """
+    match, mismatch, gap = points
+    n, wide, high = len(texts), max(map(len, texts), default=0), max(map(len, items), default=0)
+    best = np.zeros(n)
+    if not n or not wide or not high:
+        return best
+    words, known = np.zeros((n, wide), dtype=np.uint64), np.zeros((n, wide), dtype=bool)
+    rows, there = np.zeros((high, n), dtype=np.uint64), np.zeros((high, n), dtype=bool)
+    for k, (a, b) in enumerate(zip(texts, items)):
+        words[k, : len(a)], known[k, : len(a)] = a, True
+        rows[: len(b), k], there[: len(b), k] = b, True
+    last = np.zeros((n, wide + 1))
+    slope = -gap * np.arange(wide) if np.isfinite(gap) else None
+    for word, live in zip(rows, there):
+        same = (words == word[:, None]) & known & live[:, None]
+        now = np.maximum(0.0, np.where(same, last[:, :-1] + match, last[:, :-1] + mismatch if np.isfinite(mismatch) else 0.0))
+        if slope is not None:
+            now = np.maximum(now, last[:, 1:] + gap)
+            now = np.maximum.accumulate(now + slope, axis=1) - slope
+        best = np.maximum(best, now.max(axis=1))
+        last[:, 1:] = now
     return best
 
 
-def _reaches(a: np.ndarray, b: np.ndarray, run: int) -> bool:
-    """Whether the words shared in any order allow a run of `run` words or the score SIMILAR."""
-    most = min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
-    return most >= run or most >= SIMILAR * min(len(a), len(b)) - 1e-9
+def scores(texts: list[np.ndarray], items: list[np.ndarray], points: tuple[float, float, float]) -> np.ndarray:
+    """`smith_waterman` of any number of pairs, in batches of similar length and bounded size."""
+    out = np.zeros(len(texts))
+    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
+    while order:
+        some, wide = [order.pop()], 0
+        wide = len(texts[some[0]]) + 1
+        while order and (len(some) + 1) * wide <= CELLS and 2 * (len(texts[order[-1]]) + 1) >= wide:
+            some.append(order.pop())
+        out[some] = smith_waterman([texts[k] for k in some], [items[k] for k in some], points)
+    return out
 
 
 def alignments(docs: DataFrame, items: DataFrame, run: int = 12, edited: bool = True) -> DataFrame:
-    """(id, item, run, score) for the texts and items that share a seed and enough words.
+    """(id, item, run, score) for the texts and items that share a seed.
 
-    `docs` and `items` have id and words. score is the alignment score over the best score
-    the shorter of both could reach. With `edited` every shingle is a seed, otherwise only
-    those that exact runs need. Pairs whose words rule out both a run of `run` words and the
-    score SIMILAR are left out. Texts shorter than a shingle share no seed. Repeated texts
-    are aligned each.
+    `docs` and `items` have id and words. run is the score of the alignment without gaps and
+    mismatches, in words. score is that of the alignment with both, over the best score the
+    shorter of the two could reach, or NULL without `edited`. With `edited` every shingle is
+    a seed, otherwise only those that exact runs need. Pairs whose words in any order rule
+    out both a run of `run` words and the score SIMILAR are left out. Texts shorter than a
+    shingle share no seed. Repeated texts are aligned each.
+
+    The corpus is cut into shingles once; what it shares with the items is written down. A
+    seed of any number of texts is broadcast with the items, or joined over SALTS keys.
     """
     grams = _shingle_rows(items, None, False)
     item_grams = grams.select("gram").distinct()
-    some = [r["gram"] for r in item_grams.limit(BROADCAST_SHINGLES + 1).collect()]
-    kept = np.sort(np.array(some, dtype=np.int64).view(np.uint64)) if len(some) <= BROADCAST_SHINGLES else None
+    some = item_grams.limit(BROADCAST_SHINGLES + 1).toArrow().column("gram")
+    few = len(some) <= BROADCAST_SHINGLES
+    kept = np.sort(np.asarray(some, dtype=np.int64).view(np.uint64)) if few else None
     hits = _shingle_rows(docs, kept, False)
-    if kept is None:
-        hits = hits.join(item_grams, "gram", "left_semi")
+    if not few:
+        hits = _salted(hits, item_grams, "left_semi")
     if edited:
         chosen = grams.withColumnRenamed("id", "item")
     else:
+        hits = cut_lineage(hits)
         chosen = seeds(items, hits.groupBy("gram").agg(F.count("*").alias("often")), run)
-    pairs = hits.join(chosen, "gram").select("id", "item").distinct()
+    pairs = (hits.join(F.broadcast(chosen), "gram") if few else _salted(hits, chosen, "inner")).select("id", "item").distinct()
     both = pairs.join(docs.select("id", F.col("words").alias("_a")), "id").join(items.select(F.col("id").alias("item"), F.col("words").alias("_b")), "item")
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("run", pa.int32()), ("score", pa.float64())])
 
@@ -149,19 +173,28 @@ def alignments(docs: DataFrame, items: DataFrame, run: int = 12, edited: bool =
         for batch in batches:
             va, oa = tokens.flat(batch.column(2))
             vb, ob = tokens.flat(batch.column(3))
-            at, runs, scores = [], [], []
+            texts, parts, at = [], [], []
             for k in range(batch.num_rows):
                 a, b = va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]]
-                if not _reaches(a, b, run):
-                    continue
-                at.append(k)
-                runs.append(longest_run(a, b))
-                scores.append(smith_waterman(a, b) / max(1.0, 2.0 * min(len(a), len(b))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)], pa.array(runs, pa.int32()), pa.array(scores, pa.float64())], schema=schema)
+                most = min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum()))
+                if most >= run or edited and most >= SIMILAR * min(len(a), len(b)) - 1e-9:
+                    at.append(k)
+                    texts.append(a)
+                    parts.append(b)
+            runs = (scores(texts, parts, EXACT) / EXACT[0]).astype(np.int32)
+            best = [max(1.0, EDITED[0] * min(len(a), len(b))) for a, b in zip(texts, parts)]
+            score = pa.array(scores(texts, parts, EDITED) / np.array(best) if edited else [None] * len(at), pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)], pa.array(runs), score], schema=schema)
 
     return both.select("id", "item", "_a", "_b").mapInArrow(align, "id bigint, item bigint, run int, score double")
 
 
+def _salted(hits: DataFrame, grams: DataFrame, how: str) -> DataFrame:
+    """A join on gram with the hits of each spread over SALTS keys."""
+    salted = hits.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return salted.join(grams.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gram", "_salt"], how).drop("_salt")
+
+
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """(id, item): the text holds at least `run` words of the item in unbroken succession."""
     return alignments(docs, items, run, edited=False).where(F.col("run") >= run).select("id", "item")
