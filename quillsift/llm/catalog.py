@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import cutoff, leaks, mixing, neardup, pairs, quota, residue, splits, syntax, tokens
-from quillsift.session import table
+from quillsift.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -127,13 +127,15 @@ def p7_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    counted = mixing.with_tokens(table(spark, root, "documents"))
-    return counted, mixing.rates(counted, table(spark, root, "mix_targets"))
+    """Token counts, written down once, and the plan made of them."""
+    counted = cut_lineage(mixing.with_tokens(table(spark, root, "documents")))
+    return counted, mixing.rates(mixing.sizes(counted), table(spark, root, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Sources too small for their share (TESTDATA problem 8)."""
-    return _mix(spark, root)[1].where("short").select("source")
+    counted = mixing.with_tokens(table(spark, root, "documents"))
+    return mixing.rates(mixing.sizes(counted), table(spark, root, "mix_targets")).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.values import map_batches, tokenizer_path
-from quillsift.session import spread
+from quillsift.session import cut_lineage, spread
 
 # Split pattern of the byte-level tokenizers (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,16 +38,22 @@ def with_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return map_batches(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")), run, "doc_id bigint, source string, tokens bigint")
 
 
-def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
+def sizes(counted: DataFrame) -> DataFrame:
+    """(source, tokens) of all documents; partial sums come before the shuffle."""
+    return counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+
+
+def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target: tokens it has, tokens wanted, repetition rate (capped), and whether it falls short.
 
-    The total is the tokens of all documents, those of other or no source included. A
-    source without documents has rate 0 and falls short if its target is above 0. As many
-    rows as there are targets pass through the driver.
+    `sized` is the result of `sizes`, written down before it is used twice. The total is the
+    tokens of all documents, those of other or no source included. A source without
+    documents has rate 0 and falls short if its target is above 0. As many rows as there
+    are targets pass through the driver.
     """
-    sizes = counted.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    joined = targets.select("source", F.col("target_pct").cast("bigint").alias("target_pct"), F.col("max_repeats").cast("bigint").alias("max_repeats")).join(sizes, "source", "left").crossJoin(F.broadcast(total))
+    sized = cut_lineage(sized)
+    total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    joined = targets.select("source", F.col("target_pct").cast("bigint").alias("target_pct"), F.col("max_repeats").cast("bigint").alias("max_repeats")).join(sized, "source", "left").crossJoin(F.broadcast(total))
     tokens = F.coalesce("tokens", F.lit(0))
     wanted = F.col("target_pct") * F.col("total") / 100
     rate = F.when(tokens > 0, F.least(wanted / tokens, F.col("max_repeats").cast("double"))).otherwise(0.0)
