@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ TREE = {
     22: (664, 706), 77: (707, 74), 78: (707, 74), 79: (707, 74), 89: (707, 74), 95: (707, 94), 119: (664, 118), 200: (664, 668), 295: (284, 287), 338: (693, 330), 352: (693, 345),
     377: (664, 668), 502: (664, 913), 601: (664, 610), 611: (664, 610), 770: (664, 400), 779: (664, 400), 862: (284, 285), 863: (284, 285), 915: (664, 913), 918: (664, 610), 1333: (664, 400),
 }
-BINS = 1 << 12
+
+#: Rows of a category are counted in 2**BIN_BITS ranges of their hash.
+BIN_BITS = 12
 
 
 def cwe_number(text: Column) -> Column:
@@ -39,42 +42,66 @@ def categories(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return spelled.unionByName(missing.join(named, "_row", "left").select("pref_id", "category"))
 
 
-def allocate(need: dict[int, int], available: dict[int, int], tree: dict[int, tuple[int, ...]] = TREE) -> dict[int, int]:
-    """Rows to draw from each category, top-down over the tree.
+def apportion(total: int, weights: dict, low: dict, high: dict) -> dict:
+    """Whole numbers in proportion to the weights, each within [low, high], with the given sum.
 
-    Every category first gets what it needs, as far as it has rows. What is missing goes to
-    its siblings (same class), then its cousins (same pillar), then to all, each time in
-    proportion to the rows they have left, by largest remainders.
+    The sum is kept within the sums of the bounds. What a bound takes away or adds is shared
+    by the others in proportion; fractions go to the largest remainders, ties to the first
+    key. Keys without weight get their lower bound, and more only when all others are full.
     """
-    drawn = {c: min(n, available.get(c, 0)) for c, n in need.items()}
-    unmet = {c: n - drawn[c] for c, n in need.items() if n > drawn[c]}
-    for depth in (2, 1, 0):
-        owed: dict[tuple, int] = defaultdict(int)
-        for c, n in unmet.items():
-            owed[tree.get(c, ())[:depth]] += n
-        for branch, n in sorted(owed.items()):
-            spare = {c: available.get(c, 0) - drawn[c] for c in need if tree.get(c, ())[:depth] == branch and available.get(c, 0) > drawn[c]}
-            give = min(n, sum(spare.values()))
-            for c, k in _shares(give, spare).items():
-                drawn[c] += k
-            left = give
-            for c in sorted(unmet):
-                if tree.get(c, ())[:depth] == branch and left:
-                    paid = min(left, unmet[c])
-                    unmet[c] -= paid
-                    left -= paid
-        unmet = {c: n for c, n in unmet.items() if n}
-    return drawn
+    total = max(sum(low.values()), min(total, sum(high.values())))
+    keys = sorted(weights)
+    reach = lambda x: sum(min(max(Fraction(weights[k]) * x, low[k]), high[k]) for k in keys)
+    turns = sorted({Fraction(bound[k]) / Fraction(weights[k]) for k in keys if weights[k] > 0 for bound in (low, high)})
+    under = [x for x in turns if reach(x) <= total]
+    start = under[-1] if under else Fraction(0)
+    free = [k for k in keys if weights[k] > 0 and low[k] <= Fraction(weights[k]) * start < high[k]]
+    slope = sum(Fraction(weights[k]) for k in free)
+    scale = start + ((total - reach(start)) / slope if slope else 0)
+    exact = {k: min(max(Fraction(weights[k]) * scale, low[k]), high[k]) for k in keys}
+    out = {k: int(x) for k, x in exact.items()}
+    left = total - sum(out.values())
+    for k in sorted(keys, key=lambda k: (out[k] - exact[k], k)):
+        if left > 0 and exact[k] > out[k]:
+            out[k] += 1
+            left -= 1
+    for k in keys:  # only rows of categories without weight are left
+        more = min(left, high[k] - out[k])
+        out[k] += more
+        left -= more
+    return out
 
 
-def _shares(total: int, weights: dict[int, int]) -> dict[int, int]:
-    whole = sum(weights.values())
-    if not whole:
-        return {}
-    out = {c: total * w // whole for c, w in weights.items()}
-    for c in sorted(weights, key=lambda c: (-(total * weights[c] % whole), c))[: total - sum(out.values())]:
-        out[c] += 1
-    return out
+def allocate(size: int, percent: dict[int, int], least: dict[int, int], available: dict[int, int], tree: dict[int, tuple[int, ...]] = TREE) -> dict[int, int]:
+    """Rows to draw from each category: `size` in all, or all there are if these are fewer.
+
+    The quota of the root goes down the tree. Every node divides its quota among its
+    children in proportion to their percentages, no child getting less than the minimums
+    below it or more than the rows below it. So what a category cannot fill goes to its
+    siblings, and only what a whole class cannot fill to its cousins, and so on up. Rounding
+    and minimums are taken out of the other categories. If the minimums alone exceed the
+    size, they are cut in proportion.
+    """
+    have = {c: available.get(c, 0) for c in percent}
+    floor = {c: min(least[c], have[c]) for c in percent}
+    if sum(floor.values()) > size:
+        floor = apportion(size, floor, dict.fromkeys(floor, 0), floor)
+    drawn: dict[int, int] = {}
+
+    def share(quota: int, cats: list[int], depth: int) -> None:
+        branches: dict = defaultdict(list)
+        for c in cats:
+            path = tree.get(c, ())
+            branches[(0, path[depth]) if depth < len(path) else (1, c)].append(c)
+        total = lambda of: {b: sum(of[c] for c in below) for b, below in branches.items()}
+        for branch, part in apportion(quota, total(percent), total(floor), total(have)).items():
+            if branch[0]:
+                drawn[branch[1]] = part
+            else:
+                share(part, branches[branch], depth + 1)
+
+    share(size, list(percent), 0)
+    return drawn
 
 
 def plan(rows: DataFrame, placed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,8 +116,8 @@ def plan(rows: DataFrame, placed: DataFrame, targets: DataFrame) -> DataFrame:
     counts = placed.where("category is not null").groupBy("category").agg(F.count("*").alias("available"))
     found = wanted.join(counts, "category", "left").select("cwe", "category", "target_pct", "min_rows", F.coalesce("available", F.lit(0)).alias("available")).collect()
     need = {r["category"]: max(-(-r["target_pct"] * size // 100), r["min_rows"]) for r in found}
-    have = {r["category"]: r["available"] for r in found}
-    drawn = allocate(need, have)
+    of = lambda c: {r["category"]: r[c] for r in found}
+    drawn = allocate(size, of("target_pct"), of("min_rows"), of("available"))
     out = [(r["cwe"], r["category"], r["target_pct"], r["min_rows"], need[r["category"]], r["available"], drawn[r["category"]], r["available"] < need[r["category"]]) for r in found]
     return spark.createDataFrame(out, "cwe string, category bigint, target_pct bigint, min_rows bigint, need bigint, available bigint, draw bigint, short boolean")
 
@@ -103,7 +130,7 @@ def draw(placed: DataFrame, planned: DataFrame, seed: int = 5) -> DataFrame:
     category, however large, is sorted in one task.
     """
     hashed = placed.join(planned.select("category", "draw").where("draw > 0"), "category").withColumn("h", F.xxhash64(F.lit(seed), F.col("pref_id")))
-    hashed = hashed.withColumn("bin", F.shiftrightunsigned("h", 64 - 12).cast("int"))
+    hashed = hashed.withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int"))
     counts = hashed.groupBy("category", "bin", "draw").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("category").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     edges = counts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("draw")).select("category", "bin", "before", "n", "draw")
