@@ -7,9 +7,9 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+# Letters, digits and underscores, as `[\p{L}\p{N}_]` in the JVM (`tokens.hashed_words`).
 WORD = re.compile(r"\w+")
 FENCE_LINE = re.compile(r"^[ \t]*(?:`{3,}|~{3,})[ \t]*[\w+#.-]*[ \t]*$", re.M)
 MISSING_WORDS = frozenset("null none nil n/a na nan undefined missing #n/a <null> (null) [null] \\n".split()) | {"not available", "no value"}
@@ -20,7 +20,8 @@ _BLANKS = "".join(
     if unicodedata.category(chr(k)) in ("Cc", "Cf", "Zs", "Zl", "Zp") or k in (0x115F, 0x1160, 0x2800, 0x3164, 0xFFA0, 0x034F) or 0xFE00 <= k < 0xFE10
 )
 INVISIBLE = re.compile("[" + re.escape(_BLANKS) + "]+")
-_VISIBLE_RUN = re.compile(r"[^\W_]+")
+# A line that is no fence mark and holds more letters and digits than any word for a missing value.
+_PROOF = re.compile(r"^(?![ \t]*(?:`{3}|~{3}))(?:[^\nA-Za-z0-9]*[A-Za-z0-9]){21}", re.M)
 
 
 def words(text: str | None) -> list[str]:
@@ -32,8 +33,8 @@ def is_empty(text: str | None) -> bool:
     """NULL, invisible signs, fence marks, or a word for a missing value."""
     if text is None:
         return True
-    if len(text) > 200 and len(_VISIBLE_RUN.findall(text, 0, 200)) > 12:
-        return False  # a dozen words are neither marks nor one word
+    if _PROOF.search(text):
+        return False
     body = FENCE_LINE.sub("", text).replace("`", "").replace("~~~", "")
     body = " ".join(INVISIBLE.sub(" ", body).split())
     return not body or len(body) <= 20 and body.casefold().strip("'\".;:") in MISSING_WORDS
@@ -46,20 +47,6 @@ def language_name(lang: str | None, path: str | None) -> str:
     return EXTENSIONS.get((path or "").rsplit(".", 1)[-1].lower(), "")
 
 
-def word_array(column: Column) -> Column:
-    """The words of a text as an array, with Unicode classes as in `words`."""
-    return F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")
-
-
-def fresh(prefix: str, frame: DataFrame) -> str:
-    """A column name that the frame does not have."""
-    name, k = prefix, 0
-    while name in frame.columns:
-        k += 1
-        name = f"{prefix}_{k}"
-    return name
-
-
 def map_batches(frame: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over plain Python lists: function(dict of lists) -> dict of lists."""
     from pyspark.sql.types import StructType
