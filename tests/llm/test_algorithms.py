@@ -46,18 +46,44 @@ def test_words_and_numbering(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", tokens.hashed_words(F.col("t")).alias("w")).orderBy("id").collect()
     assert [len(r.w) for r in rows] == [len(WORD.findall((t or "").lower())) for t in texts]
     assert rows[0].w[2:] and rows[0].w[3] == rows[0].w[4] and rows[3].w[0] == rows[3].w[1]
-    ids, row, repeat = tokens.numbered(np.array([5, 5, 7, 5], dtype=np.uint64), np.array([0, 3, 4]))
-    assert list(row) == [0, 0, 0, 1] and list(repeat) == [0, 1, 0, 0] and len(set(ids[:3])) == 3 and ids[3] in ids[:3]
+    ids, row = tokens.numbered(np.array([5, 5, 7, 5], dtype=np.uint64) << np.uint64(40), np.array([0, 3, 4]))
+    assert list(row) == [0, 0, 0, 1] and len(set(ids[:3])) == 3 and ids[3] in ids[:3]
+    many = np.arange(5000) % 3
+    assert len(set(tokens.numbered(many.astype(np.uint64), np.arange(5001))[0])) == 3
 
 
 def test_counts_hold_all_rows(spark):
     rows = spark.createDataFrame([(k, "a b a") for k in range(300)], "id int, t string").repartition(7)
-    counts, n = tokens.word_counts(rows.select(tokens.hashed_words(F.col("t")).alias("w")), ["w"])
-    assert n == 300 and counts.sum() == 900 and sorted(counts[counts > 0]) == [300, 600]
-    counts, n = tokens.word_counts(rows.limit(0).select(tokens.hashed_words(F.col("t")).alias("w")), ["w"])
+    words = rows.select(tokens.hashed_words(F.col("t")).alias("w"))
+    counts, n = tokens.id_counts(words, ["w"])
+    assert n == 300 and counts.sum() == 900 and list(counts[counts > 0]) == [300, 300, 300]
+    counts, n = tokens.id_counts(words.limit(0), ["w"])
     assert n == 0 and counts.sum() == 0
 
 
+def test_counters_are_merged_in_bounded_groups(spark, monkeypatch):
+    """At any number of partitions a task merges GROUP blocks at most."""
+    assert [tokens.merge_levels(n) for n in (1, 64, 65, 4096, 5000, 800_000)] == [1, 1, 2, 2, 3, 4]
+    monkeypatch.setattr(tokens, "GROUP", 3)
+    monkeypatch.setattr(tokens, "BLOCKS", 4)
+    words = spark.range(0, 40, 1, 20).select(F.array(F.lit(7) * (1 << 40), F.col("id") + 1).alias("w"))
+    counts, n = tokens.id_counts(words, ["w"])
+    assert n == 40 and counts.sum() == 80 and counts.max() >= 40
+
+
+def test_parity_bits_never_rule_out_a_near_pair():
+    draw = np.random.default_rng(2)
+    for size in (1, 5, 40, 300, 2000):
+        a = tokens.mix(draw.integers(0, 1 << 62, size).astype(np.uint64))
+        for share in (0.85, 0.9, 1.0):
+            b = a.copy()
+            edited = size - int(np.ceil(share * size - 1e-9))
+            b[:edited] = tokens.mix(draw.integers(0, 1 << 62, edited).astype(np.uint64))
+            bits = [tokens.parities(x, np.zeros(size, dtype=np.int64), 1) for x in (a, b)]
+            differ = sum(bin((int(x[0]) ^ int(y[0])) & (1 << 64) - 1).count("1") for x, y in zip(*bits))
+            assert differ <= 2 * edited <= 2 * size - 2 * int(np.ceil(0.85 * size - 1e-9))
+
+
 DOCS = "row_id bigint, original_instruction string, original_code string, rep bigint, words string, id bigint"
 
 
@@ -119,7 +145,40 @@ def test_components(spark):
 
 
 def test_more_trees_for_more_recall():
-    assert neardup.trees_for(0.999, 1) < neardup.trees_for(0.9999, 1) < neardup.trees_for(0.9999, 2)
+    assert neardup.trees_for(0.999, 1, 0.85) < neardup.trees_for(0.9999, 1, 0.85) < neardup.trees_for(0.9999, 2, 0.85)
+
+
+def family(draw, text, names, at):
+    """A copy whose words at the given places are new."""
+    words = text.split()
+    for k in at(len(words)):
+        words[k] = draw.choice(names)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("vocabulary", [60, 150, 400, 100_000])
+def test_recall_for_small_and_large_vocabularies(spark, vocabulary):
+    """Pairs at the threshold itself, among texts of frequent words; edits bring in rare words only."""
+    draw = random.Random(vocabulary)
+    base = [" ".join(f"w{draw.randrange(vocabulary)}" for _ in range(40)) for _ in range(6000)]
+    pairs = [(k, family(draw, base[k], [f"rare{n}" for n in range(10**6, 10**6 + 50)], lambda n: draw.sample(range(n), 6))) for k in range(600)]
+    texts = base + [t for _, t in pairs]
+    docs = neardup.with_words(records(spark, texts), "row_id", ["original_instruction", "original_code"])
+    found = {tuple(r) for r in neardup.NearDuplicates(docs).links().select("a", "b").collect()}
+    want = {(k, 6000 + n) for n, (k, _) in enumerate(pairs)}
+    assert len(found & want) >= 0.99 * len(want)
+
+
+def test_a_large_family_of_near_copies(spark, monkeypatch):
+    """Branching cannot separate it; it is compared in blocks, and none of its links is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    draw = random.Random(8)
+    core = " ".join(f"c{k}" for k in range(60))
+    texts = [family(draw, core, [f"e{k}x{n}" for n in range(9)], lambda n: [draw.randrange(n)]) for k in range(300)] + corpus(200, 3)
+    docs = neardup.with_words(records(spark, texts), "row_id", ["original_instruction", "original_code"])
+    join = neardup.NearDuplicates(docs)
+    assert join.nodes()[1] is not None
+    assert {tuple(r) for r in join.pairs().collect()} == brute(texts)
 
 
 PREFS = "pref_id bigint, prompt array<struct<role:string,content:string>>, chosen array<struct<role:string,content:string>>, split_name string, id bigint, side string"
@@ -151,6 +210,34 @@ def test_cross_split(spark):
     assert empty.pairs().count() == 0
 
 
+def test_hot_terms_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "HOT", 20)
+    monkeypatch.setattr(splits, "BLOCK", 3)
+    draw = random.Random(6)
+    common = [f"w{k}" for k in range(12)]
+    texts = [" ".join(draw.choice(common) for _ in range(20)) for _ in range(150)]
+    texts += [family(draw, texts[k], common, lambda n: draw.sample(range(n), 2)) for k in range(60)]
+    side = [draw.choice(["train", "eval"]) for _ in texts]
+    table = spark.createDataFrame([(k, [("user", "p q r")], [("assistant", t)], side[k], None, None) for k, t in enumerate(texts)], PREFS)
+    bags = [bag(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if side[i] == "train" and side[j] == "eval" and overlap(bags[i], bags[j]) >= 0.85 - 1e-12}
+    got = [tuple(r) for r in splits.CrossSplit(splits.split_records(table)).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_the_index_bound_by_brute_force():
+    """The least product that two near records can have is tau; the terms left out cannot reach it."""
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = draw.integers(0, 7, 2)
+        fields = np.repeat([0, 1], sizes)
+        squares = draw.random(len(fields)) ** 2
+        order = np.argsort(squares)
+        taken, tau, rest = splits.index_start(squares[order], fields[order], np.zeros(len(fields), dtype=np.int64), np.array([0, len(fields)]), [sizes[:1], sizes[1:]], 0.85)
+        least = sum(sorted(squares[fields == f])[k] for f in (0, 1) for k in range(int(np.ceil(0.85 * sizes[f] - 1e-9))))
+        assert tau[0] == pytest.approx(least) and rest[0] == pytest.approx(squares[order][~taken].sum()) and (rest[0] < tau[0] or not len(fields))
+
+
 def test_leaks(spark):
     draw = random.Random(9)
     items = [" ".join(draw.choice([f"v{k}" for k in range(80)]) for _ in range(45)) for _ in range(25)] + ["short item", "", None]
@@ -174,6 +261,12 @@ def test_leaks(spark):
     assert leaks.leaks(table(docs).limit(0), table(items)).count() == 0 and leaks.leaks(table(docs), table(items).limit(0)).count() == 0
 
 
+def score(a, b, points=leaks.EDITED):
+    """One alignment score of two word lists."""
+    number = {w: k + 1 for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    return leaks.smith_waterman([np.array([number[w] for w in x], dtype=np.uint64) for x in (a,)], [np.array([number[w] for w in b], dtype=np.uint64)], points)[0]
+
+
 @pytest.mark.parametrize("every", [8, 10])
 def test_copies_edited_more_often_than_a_run(spark, tmp_path, every):
     """Every stretch of 12 words holds an edit, so most of its shingles stand in no text, or only in one that is no copy."""
@@ -183,7 +276,7 @@ def test_copies_edited_more_often_than_a_run(spark, tmp_path, every):
     decoys = [" ".join([*items[0][n : n + 5], *[f"d{n}x{k}" for k in range(40)]]) for n in range(56) if any(m % every == 3 for m in range(n, n + 5))]
     spark.createDataFrame(list(enumerate([t for _, t in copies] + decoys)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark_items.parquet"))
-    want = collections.Counter(j for j, t in copies if leaks.smith_waterman(np.array(t.split()), np.array(items[j])) >= leaks.SIMILAR * 120)
+    want = collections.Counter(j for j, t in copies if score(t.split(), items[j]) >= leaks.SIMILAR * 120)
     assert {r.item_id: (r.exact, r.edited) for r in catalog.p7_items(spark, str(tmp_path)).collect()} == {j: (0, n) for j, n in want.items()} and len(want) == 4
 
 
@@ -197,30 +290,48 @@ def test_leaks_beyond_the_broadcast_bound(spark, monkeypatch):
 
 
 def test_alignment_scores():
-    a = np.arange(20)
-    edited = np.concatenate([a[:9], [99], a[9:]])
-    assert leaks.smith_waterman(a, a) == 40 and leaks.smith_waterman(edited, a) == 39 and leaks.smith_waterman(a + 100, a) == 0
-    assert leaks.longest_run(edited, a) == 11 and leaks.longest_run(np.array([]), a) == 0
+    a = list(range(20))
+    edited = [*a[:9], 99, *a[9:]]
+    assert score(a, a) == 40 and score(edited, a) == 39 and score([x + 100 for x in a], a) == 0
+    assert score(edited, a, leaks.EXACT) == 22 and leaks.smith_waterman([np.zeros(0, np.uint64)], [np.arange(3, dtype=np.uint64)])[0] == 0
 
-    def slow(x, y):
+    def slow(x, y, mismatch, gap):
         h = np.zeros((len(x) + 1, len(y) + 1))
         for i in range(1, len(x) + 1):
             for j in range(1, len(y) + 1):
-                h[i, j] = max(0, h[i - 1, j - 1] + (2 if x[i - 1] == y[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if x[i - 1] == y[j - 1] else mismatch), h[i - 1, j] + gap, h[i, j - 1] + gap)
         return h.max()
 
     draw = np.random.default_rng(1)
-    for _ in range(30):
-        x, y = draw.integers(0, 6, 25), draw.integers(0, 6, 18)
-        assert leaks.smith_waterman(x, y) == slow(x, y)
+    texts = [draw.integers(0, 6, draw.integers(0, 40)).astype(np.uint64) for _ in range(60)]
+    items = [draw.integers(0, 6, draw.integers(0, 18)).astype(np.uint64) for _ in range(60)]
+    for points in (leaks.EDITED, leaks.EXACT):
+        assert list(leaks.scores(texts, items, points)) == [slow(x, y, *points[1:]) for x, y in zip(texts, items)]
+
+
+TREE = {1: (10, 100), 2: (10, 100), 3: (10, 101), 4: (11, 102)}
 
 
 def test_allocation_passes_to_siblings_then_cousins():
-    tree = {1: (10, 100), 2: (10, 100), 3: (10, 101), 4: (11, 102)}
-    assert quota.allocate({1: 10, 2: 5, 3: 5, 4: 5}, {1: 4, 2: 30, 3: 30, 4: 30}, tree) == {1: 4, 2: 11, 3: 5, 4: 5}
-    assert quota.allocate({1: 10, 2: 5, 3: 5, 4: 5}, {1: 4, 2: 7, 3: 30, 4: 30}, tree) == {1: 4, 2: 7, 3: 9, 4: 5}
-    assert quota.allocate({1: 10, 2: 5, 3: 5, 4: 5}, {1: 0, 2: 5, 3: 6, 4: 30}, tree) == {1: 0, 2: 5, 3: 6, 4: 14}
-    assert quota.allocate({1: 3}, {}, tree) == {1: 0}
+    share, none = {1: 40, 2: 20, 3: 20, 4: 20}, dict.fromkeys([1, 2, 3, 4], 0)
+    assert quota.allocate(25, share, none, {1: 4, 2: 30, 3: 30, 4: 30}, TREE) == {1: 4, 2: 11, 3: 5, 4: 5}
+    assert quota.allocate(25, share, none, {1: 4, 2: 7, 3: 30, 4: 30}, TREE) == {1: 4, 2: 7, 3: 9, 4: 5}
+    assert quota.allocate(25, share, none, {1: 0, 2: 5, 3: 6, 4: 30}, TREE) == {1: 0, 2: 5, 3: 6, 4: 14}
+    assert quota.allocate(3, {1: 100}, {1: 1}, {}, TREE) == {1: 0} and quota.allocate(0, share, none, {1: 9}, TREE) == none
+    assert quota.allocate(10, {1: 100, 5: 0}, {1: 0, 5: 3}, {1: 20, 5: 20}, TREE) == {1: 7, 5: 3}
+
+
+def test_allocation_has_the_exact_size_and_keeps_its_bounds():
+    draw = random.Random(2)
+    for _ in range(400):
+        cats = draw.sample([*quota.TREE, 5000, 5001], draw.randrange(1, 20))
+        weights = [draw.choice([0, 1, 1, 2, 5, 20]) for _ in cats]
+        percent = dict(zip(cats, weights))
+        least, have, size = {c: draw.choice([0, 0, 1, 2, 8]) for c in cats}, {c: draw.choice([0, 1, 5, 40, 300]) for c in cats}, draw.randrange(0, 400)
+        got = quota.allocate(size, percent, least, have)
+        assert sum(got.values()) == min(size, sum(have.values())) and all(0 <= got[c] <= have[c] for c in cats)
+        floor = {c: min(least[c], have[c]) for c in cats}
+        assert sum(floor.values()) > size or all(got[c] >= floor[c] for c in cats)
 
 
 SPELLED = ["CWE-79", "cwe-79", "79", "CWE_0079", " CWE 79 ", "CWE-89", None, "", " ", "none"]
@@ -244,6 +355,7 @@ def test_quota(spark):
     assert len(set(drawn)) == len(drawn) and all(own(dict((x[0], x[1]) for x in rows)[i]) == c for i, c in drawn)
     assert collections.Counter(c for _, c in drawn) == {r.category: r.draw for r in planned.collect() if r.draw}
     assert sorted(drawn) == sorted((r.pref_id, r.category) for r in quota.draw(placed.repartition(5), planned).collect())
+    assert len(drawn) == min(len(rows) // 2, sum(r.available for r in planned.collect()))
     none = quota.plan(prefs.limit(0), placed.limit(0), targets)
     assert quota.draw(placed.limit(0), none).count() == 0
 
@@ -257,10 +369,10 @@ def test_mixing(spark):
     sizes = {r.source: r.s for r in counted.groupBy("source").agg(F.sum("tokens").alias("s")).collect()}
     assert counted.where("doc_id in (9000, 9001)").agg(F.sum("tokens")).collect()[0][0] == 0
     targets = spark.createDataFrame([("a", 20, 1), ("b", 60, 3), ("c", 10, 2), ("e", 10, 2)], "source string, target_pct int, max_repeats int")
-    plan = {r.source: r for r in mixing.rates(counted, targets).collect()}
+    plan = {r.source: r for r in mixing.rates(mixing.sizes(counted), targets).collect()}
     total = sum(sizes.values())
     assert [s for s, r in plan.items() if r.short] == ["e"] and plan["e"].rate == 0 and plan["b"].rate == pytest.approx(0.6 * total / sizes["b"])
-    mix = mixing.mixed(counted, mixing.rates(counted, targets)).collect()
+    mix = mixing.mixed(counted, mixing.rates(mixing.sizes(counted), targets)).collect()
     assert len({(r.doc_id, r.copy) for r in mix}) == len(mix) and max(r.copy for r in mix) <= 3
     got = collections.Counter()
     for r in mix:
@@ -268,5 +380,5 @@ def test_mixing(spark):
     assert got["b"] / total == pytest.approx(0.6, abs=0.02) and got["a"] / total == pytest.approx(0.2, abs=0.02)
     whole = collections.Counter(r.doc_id for r in mix if r.source == "b")
     assert set(whole.values()) <= {2, 3}
-    assert {r.source for r in mixing.report(mixing.mixed(counted, mixing.rates(counted, targets)), mixing.rates(counted, targets)).collect()} == {"a", "b", "c", "e"}
-    assert mixing.mixed(counted.limit(0), mixing.rates(counted.limit(0), targets)).count() == 0
+    assert {r.source for r in mixing.report(mixing.mixed(counted, mixing.rates(mixing.sizes(counted), targets)), mixing.rates(mixing.sizes(counted), targets)).collect()} == {"a", "b", "c", "e"}
+    assert mixing.mixed(counted.limit(0), mixing.rates(mixing.sizes(counted.limit(0)), targets)).count() == 0
