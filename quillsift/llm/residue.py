@@ -1,24 +1,30 @@
 """Problem 9: template residue, filler, error pages and notices in place of real content.
 
-Detectors look for unfilled slots and for the wording of filler, error pages and notices.
-Clear findings decide alone. Wording that a writer might use as well is only kept apart
-from real text by evidence on the hosts: the same sentence, numbers aside, under several
-unrelated item addresses, with no term in common with the address slug, the title or the
-body's other sentences (those that are not doubtful themselves).
+Detectors find unfilled slots and candidates: sentences with the wording of filler, error
+pages and notices, and sentences of machine terms. A slot decides alone. A candidate is
+compared with the address slug, the title and the other sentences of the body: real speech
+shares terms with them, a page does not. What is strange there counts if it makes up its
+sentence by itself, or if the same sentence, numbers aside, stands strange under several
+unrelated addresses. A sentence of which that is known is also found inside other sentences.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.values import map_batches, words
-from quillsift.session import spread
+from quillsift.session import cut_lineage, spread
 
-#: Unrelated addresses under which a doubtful sentence has to occur.
+#: Unrelated addresses under which a candidate has to occur.
 HOSTS = 3
+#: Share of a sentence's terms, those of machines and markup included, from which the wording makes it up by itself.
+COVERED = 0.5
+#: Words that may stand before the wording of a page ("Oops!", "Error 500 -").
+LEAD = 2
 
 # Names of slots (fixed values, matched in lower case, blanks for underscores).
 _NAME_PHRASES = frozenset(
@@ -27,25 +33,25 @@ _NAME_PHRASES = frozenset(
 )
 _HTML = frozenset("a abbr address article b blockquote body br button caption code dd del div dl dt em figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav ol option p pre q s section select small span strike strong sub sup table tbody td tfoot th thead time title tr tt u ul var video".split())
 _FIRM = [
-    re.compile(r"\{\{\{?\s*([^{}\n]{1,60}?)\s*\}\}\}?"), re.compile(r"\[\[\s*([^\[\]\n]{1,60}?)\s*\]\]"), re.compile(r"[$#]\{\s*([^{}\n]{1,60}?)\s*\}"),
-    re.compile(r"<%=?\s*([^%\n]{1,60}?)\s*%>"), re.compile(r"@@\s*([^@\n]{1,60}?)\s*@@"), re.compile(r"\{%\s*([^%\n]{1,80}?)\s*%\}"),
+    re.compile(r"\{\{\{?\s*([^{}\n]+?)\s*\}\}\}?"), re.compile(r"\[\[\s*([^\[\]\n]+?)\s*\]\]"), re.compile(r"[$#]\{\s*([^{}\n]+?)\s*\}"),
+    re.compile(r"<%=?\s*([^%\n]+?)\s*%>"), re.compile(r"@@\s*([^@\n]+?)\s*@@"), re.compile(r"\{%\s*([^%\n]+?)\s*%\}"),
 ]
-_SOFT = [re.compile(r"\[\s*([^\[\]\n]{1,40}?)\s*\]"), re.compile(r"<\s*([^<>\n/=\"]{1,40}?)\s*>"), re.compile(r"\{\s*([^{}\n]{1,40}?)\s*\}"), re.compile(r"%([A-Za-z][\w. -]{1,40}?)%"), re.compile(r"(?<!\w)__([A-Za-z][\w. -]{1,40}?)__(?!\w)"), re.compile(r"(?<!\w)X{4,}(?!\w)()")]
+_SOFT = [re.compile(r"\[\s*([^\[\]\n]+?)\s*\]"), re.compile(r"<\s*([^<>\n/=\"]+?)\s*>"), re.compile(r"\{\s*([^{}\n]+?)\s*\}"), re.compile(r"%([A-Za-z][\w. -]+?)%"), re.compile(r"(?<!\w)__([A-Za-z][\w. -]+?)__(?!\w)"), re.compile(r"(?<!\w)X{4,}(?!\w)()")]
 _IDENT = re.compile(r"[A-Za-z]\w*(?:[._-]\w+)+|[a-z]+[A-Z]\w*")
 _WORDY = re.compile(r"[^\W\d_][\w .'-]*(?:\s*\|\s*[\w .:'\"()-]+)?")
 
-# Wording that only stands where real content is missing (fixed values, matched in lower case).
+# Wording of pages, filler and notices; what matches is a candidate (fixed values, matched in lower case).
 CLEAR = [
     # filler
     r"\blorem ipsum dolor\b", r"\bipsum dolor sit amet\b", r"\bconsectetur adipiscing elit\b", r"\bdolor sit amet\b", r"\bsed do eiusmod tempor\b", r"\but (?:enim ad minim|labore et dolore)\b", r"\bquis nostrud exercitation\b", r"\bduis aute irure\b", r"\bin reprehenderit in voluptate\b", r"\bexcepteur sint occaecat\b", r"\bcupidatat non proident\b", r"\bmollit anim id est\b", r"\bthis is (?:a )?(?:sample|dummy|placeholder|filler|test|example) (?:text|review|content)\b", r"\b(?:placeholder|dummy|sample|filler) text (?:for|goes here|here)\b", r"\btodo\s*:?\s*(?:add|write|insert|fill|replace)\b",
     r"\bfixme\s*:", r"\b(?:write|enter|type|insert|add|put) (?:your|the|a) (?:own )?(?:review|text|comment|opinion|title|description|message|content) here\b", r"\b(?:your|review|insert) (?:text|review|content|title|name) (?:goes )?here\b", r"\breplace (?:it|this(?: text)?) with your (?:own )?(?:review|text|content)\b",
     r"\bblindtext\b.{0,30}\bersetzen\b", r"\b(?:dies|das) ist ein (?:blind|platzhalter|muster|beispiel)text\b", r"\bplatzhaltertext\b", r"\bhier (?:ihren?|deinen?|den) (?:text|bewertung|kommentar|titel) (?:eingeben|einfügen|schreiben)\b", r"\bihre? (?:text|bewertung) hier\b", r"\b(?:votre|saisissez votre|écrivez votre|insérez votre) (?:avis|texte|commentaire|titre) ici\b",
     r"\bceci est un (?:faux )?texte (?:d'exemple|de remplissage|factice)\b", r"\btexte (?:d'exemple|de remplissage)\b", r"\b(?:escriba|escribe|introduzca|introduce|inserte|ingrese) (?:aquí )?(?:su|tu) (?:opinión|texto|comentario|reseña|título)(?: aquí)?\b", r"\bescrib[ae] aquí\b", r"\bsu (?:texto|opinión) aquí\b", r"\b(?:este|esto) es un texto de (?:ejemplo|prueba|relleno)\b",
-    r"\btest test test\b", r"\basdf(?:\s*asdf|ghjkl?|jkl)\b", r"\basdf asdf\b", r"\bblah blah blah\b", r"\bfoo bar baz\b", r"\bqwerty qwerty\b", r"\bno (?:content|text|description) (?:provided|available|here)\b", r"\bcontent goes here\b",
+    r"\bno (?:content|text|description) (?:provided|available|here)\b", r"\bcontent goes here\b",
     # error pages
     r"\bthe requested (?:url|page|resource|document)\b.{0,200}\b(?:was|could|is|does|has)\b.{0,20}\b(?:not (?:found|be found|exist|available)|moved)\b", r"\b(?:error )?[45]\d\d\s*(?:[-–:]\s*)?(?:internal server error|bad gateway|gateway time-?out|too many requests)\b", r"(?:^|[\n>])\s*(?:(?:http )?(?:error )?(?:40\d|410|429|50\d|520)\b[\s:–-]*(?:not found|page not found|forbidden|unauthorized|service unavailable|bad request|gone|error)|http/1\.\d [45]\d\d)",
     r"<h\d>\s*[45]\d\d\b", r"\bbad gateway\s*\n?\s*(?:nginx|apache|cloudflare)\b", r"\binternal server error\b.{0,40}\b(?:try again|ref|contact|reload)", r"\bservice (?:is )?temporarily unavailable\b.{0,40}(?:request|ref|try|id|\d)", r"\b(?:access|permission) denied\b.{0,20}\b(?:you|your)\b", r"\byou (?:don't|do not) have permission to (?:access|view)\b",
-    r"\bdatabase (?:connection|error|query)\b.{0,20}\b(?:failed|error|refused|timed out)\b", r"\berror establishing a database connection\b", r"\btraceback \(most recent call last\)", r"\bnull ?pointer\b.{0,10}\b(?:while|exception|at)\b", r"\b(?:uncaught |unhandled )(?:exception|typeerror|error)\b", r"\bjava\.lang\.\w+", r"\b(?:key|type|value|attribute|reference|runtime)error: ", r"\bfatal error\s*:", r"\bstack trace\s*:",
+    r"\bdatabase (?:connection|error|query)\b.{0,20}\b(?:failed|error|refused|timed out)\b", r"\berror establishing a database connection\b", r"\btraceback \(most recent call last\)\s*:", r"\bnull ?pointer\b.{0,10}\b(?:while|exception|at)\b", r"\b(?:uncaught |unhandled )(?:exception|typeerror|error)\b", r"\bjava\.lang\.\w+", r"\b(?:key|type|value|attribute|reference|runtime)error: ", r"\bfatal error\s*:", r"\bstack trace\s*:",
     r"\bwarning: (?:undefined|mysql|include)\w*", r"\bsegmentation fault\b", r"\bsomething went wrong (?:while|when|on our|loading|processing)", r"\ban (?:unexpected |internal )?error (?:has )?occurred (?:while|during|processing|on the server)", r"\b(?:we're|we are) sorry,? (?:but )?(?:something|an error|the page|this page)", r"\bthis (?:page|site|content|review) (?:isn't|is not|is no longer|can't be|cannot be|could not be) (?:available|reached|loaded|displayed)\b",
     r"\bseite nicht gefunden\b", r"\bdie (?:angeforderte )?seite (?:wurde nicht gefunden|existiert nicht)\b", r"\binterner serverfehler\b", r"\bzugriff verweigert\b", r"\bpágina no encontrada\b", r"\berror interno del servidor\b", r"\bacceso denegado\b", r"\bpage (?:introuvable|non trouvée)\b", r"\berreur interne du serveur\b", r"\baccès (?:refusé|interdit)\b", r"\bservice (?:temporairement )?indisponible\b", r"\bpage not found\b(?=\s*(?:$|[\n|.–-]))",
     r"\btoo many requests\b", r"\brequest (?:id|blocked|timed out)\b.{0,4}[:#\d]", r"\bray id\b", r"\bunder maintenance\b.{0,40}\b(?:back|try|check)\b",
@@ -57,7 +63,10 @@ CLEAR = [
     r"\bwe (?:and our partners )?(?:use|value)\b.{0,20}\b(?:cookies|privacy)\b", r"\bthis (?:site|website|page|shop) uses cookies\b", r"\baccept (?:all )?(?:cookies|all)\b.{0,20}\bto continue\b", r"\bwir verwenden cookies\b", r"\bdiese (?:web)?seite (?:verwendet|nutzt) cookies\b", r"\b(?:nous utilisons|ce site utilise) des cookies\b", r"\b(?:usamos|utilizamos|este sitio (?:web )?(?:usa|utiliza)) cookies\b",
     r"\byour session (?:has )?(?:expired|timed out|ended)\b", r"\b(?:ihre|deine) sitzung ist abgelaufen\b", r"\bvotre session a expiré\b", r"\bsu sesión ha (?:expirado|caducado)\b", r"\b(?:sign|log) in to (?:continue|view|read|see)\b", r"\b(?:subscribe|register|sign up) to (?:continue|read|unlock)\b", r"\bturn off your ad ?blocker\b", r"\byou are being redirected\b", r"\bclick here if you are not redirected\b",
 ]
+# Filler that people also say; it has to be a sentence by itself (fixed values).
+SOFT = [r"\btest test test\b", r"\basdf(?:\s*asdf|ghjkl?|jkl)\b", r"\basdf asdf\b", r"\bblah blah blah\b", r"\bfoo bar baz\b", r"\bqwerty qwerty\b"]
 _CLEAR = re.compile("|".join(f"(?:{p})" for p in CLEAR), re.S)
+_SOFT_WORDS = re.compile("|".join(f"(?:{p})" for p in SOFT), re.S)
 # Every wording above holds one of these words (or a heading tag); texts without any skip the search (fixed values).
 KEYS = frozenset(
     "ipsum adipiscing amet eiusmod veniam minim labore nostrud irure reprehenderit excepteur cupidatat mollit sample dummy placeholder filler test example todo fixme here blindtext platzhaltertext mustertext beispieltext hier ici aquí factice remplissage exemple escriba escribe introduzca introduce inserte ingrese "
@@ -79,10 +88,34 @@ MACHINE = frozenset(
     "server servers request requests error errors page website site url http https browser network traffic connection session access administrator database gateway proxy timeout cookies javascript login account password captcha robot automated ip firewall blocked denied temporary temporarily unavailable maintenance expired computer system systems service detected unusual encountered "
     "seite webseite fehler anfrage anfragen zugriff netzwerk verbindung sitzung konto browser datenverkehr administrator wartung gesperrt página sitio servidor solicitud solicitudes conexión sesión cuenta acceso navegador tráfico red mantenimiento bloqueado administrador serveur requête requêtes connexion compte accès navigateur trafic réseau erreur système sistema bloqué administrateur".split()
 )
-_SPEAKERS = frozenset("i me my mine myself ich mich mir mein meine meinem meinen meiner je j me m moi mon ma mes yo mi mis mí".split())
+# Who speaks or is spoken of in a review (pages say we), and how a review reports what a page or a sign says (fixed values).
+_SPEAKERS = frozenset(
+    "i me my mine myself he she his her they ich mich mir mein meine meinem meinen meiner er je j me m moi mon ma mes elle yo mi mis mí él ella".split()
+)
+_REPORTED = re.compile(
+    r"(?:\b(?:say|says|said|saying|read|reads|show|shows|showed|showing|display|displays|displayed|print|prints|printed|saw|see|sees|message|messages|called|named|labelled|sagt|sagte|zeigt|zeigte|meldet|meldete|meldung|steht|stand|dice|decía|muestra|mostró|mensaje|dit|disait|affiche|affichait)\b[\W_]*(?:(?:a|an|the|only|just|me|us|that|of|ein|eine|einen|die|der|das|un|una|une|le|la|el)\b\W*){0,2}|[\"“„«‘]\s*)$"
+)
+# Words without content (fixed values).
+_LIGHT = frozenset(
+    "a an the and or but of in on at to for with by from is are was were be been it its this that these those you your not no as has have had do does did so if than then too very can will would please "
+    "der die das den dem ein eine einen und oder aber mit von zu im in ist sind war es nicht sie ihr ihre bitte um für auf el la los las un una y o de en con por para es son no su se que lo este esta debe le les des du et ou est sont ne pas ce cette vous votre pour sur dans".split()
+)
 _SENTENCE = re.compile(r"[^.!?\n…]+[.!?…]*")
 
 
+class Finding(NamedTuple):
+    """What one place of a text shows: `decided` needs no evidence, `alone` is a sentence by
+    itself, `key` names the wording, `segment` the sentence with numbers masked, `strange`
+    whether it shares no terms, `known` the terms around it."""
+
+    decided: bool
+    alone: bool
+    key: str
+    segment: str
+    strange: bool
+    known: list[str]
+
+
 def unfilled_slots(text: str) -> list[str]:
     """The unfilled template slots of a text. Doubtful brackets count only around a slot's name."""
     found = []
@@ -106,66 +139,111 @@ def unfilled_slots(text: str) -> list[str]:
     return found
 
 
-def _machine_like(sentence: str) -> bool:
-    said = set(words(sentence))
-    return len(said & MACHINE) >= MACHINE_TERMS and not said & _SPEAKERS
+def masked(text: str) -> str:
+    """One line with numbers masked and no sign at its end."""
+    return re.sub(r"\d+", "0", " ".join(text.split())).strip(" .!?…")
+
+
+def content(text: str) -> set[str]:
+    """The words that say something."""
+    return {w for w in words(text) if w not in _LIGHT and not w.isdigit()}
+
 
+def strange(terms: set[str], known: set[str]) -> bool:
+    """Whether a sentence shares no more than a third of its terms with what surrounds it."""
+    return 3 * len(terms & known) <= len(terms)
 
-def split_doubtful(text: str) -> tuple[list[str], set[str]]:
-    """Sentences of doubtful wording or of machine terms, with numbers masked, and the words of all others."""
-    found, rest = [], set()
-    for m in _SENTENCE.finditer(text):
-        s = m.group().strip().lower()
-        if s and (len(s) < 80 and DOUBTFUL.fullmatch(s) or _machine_like(s)):
-            found.append(re.sub(r"\d+", "0", s))
-        else:
-            rest.update(words(s))
-    return found, rest
 
+def _machine_like(sentence: str) -> bool:
+    said = set(words(sentence))
+    return len(said & MACHINE) >= MACHINE_TERMS and not said & _SPEAKERS
 
-def doubtful_sentences(text: str) -> list[str]:
-    """Sentences of doubtful wording or of machine terms, with numbers masked."""
-    return split_doubtful(text)[0]
 
+def findings(text: str | None, title: str | None = None, slug: str | None = None) -> list[Finding]:
+    """Slots and candidates of one text. NULL and empty texts have none.
 
-def inspect(text: str | None) -> tuple[bool, list[str]]:
-    """(a clear finding, doubtful sentences) for one text. NULL and empty texts have neither."""
+    The terms around a candidate are those of slug, title and the sentences that are no candidates.
+    """
     if not text:
-        return False, []
+        return []
+    if unfilled_slots(text):
+        return [Finding(True, True, "slot", "", True, [])]
     plain = text.lower().replace("’", "'")
-    if (not KEYS.isdisjoint(words(text)) or "<h" in plain) and _CLEAR.search(plain) or unfilled_slots(text):
-        return True, []
-    return False, doubtful_sentences(text)
+    sentences = [(m.start(), m.end()) for m in _SENTENCE.finditer(plain) if m.group().strip()]
+    hits: dict[int, list[tuple[int, int, bool]]] = {}
+    if not KEYS.isdisjoint(words(plain)) or "<h" in plain:
+        spans = [(m.start(), m.end(), False) for m in _CLEAR.finditer(plain)] + [(m.start(), m.end(), True) for m in _SOFT_WORDS.finditer(plain)]
+        at = 0
+        for start, end, soft in sorted(spans):
+            while at < len(sentences) - 1 and sentences[at][1] <= start:
+                at += 1
+            hits.setdefault(at, []).append((start, end, soft))
+    doubtful = {k for k, (a, b) in enumerate(sentences) if k not in hits and (DOUBTFUL.fullmatch(s := plain[a:b].strip()) or _machine_like(s))}
+    if not hits and not doubtful:
+        return []
+    around = content(title or "") | content((slug or "").replace("-", " ").replace("_", " "))
+    covered: set[int] = set()
+    for k, found in hits.items():
+        last = max(end for _, end, _ in found)
+        covered |= {n for n in range(k, len(sentences)) if sentences[n][0] < last}
+    for k, (a, b) in enumerate(sentences):
+        if k not in covered and k not in doubtful:
+            around |= content(plain[a:b])
+    out = []
+    for k in sorted(doubtful):
+        segment = masked(plain[slice(*sentences[k])])
+        out.append(Finding(False, True, "doubt", segment, not content(segment) & around, []))
+    for k, found in hits.items():
+        begin, first = sentences[k][0], found[0][0]
+        stop = max(max(end for _, end, _ in found), sentences[k][1])
+        whole, lead = plain[begin:stop], plain[begin:first]
+        segment, key = masked(whole), " ".join(masked(plain[found[0][0] : found[0][1]]).split()[:2])
+        terms = content(whole)
+        told = set().union(*(words(plain[a:b]) for a, b, _ in found))
+        share = len(terms & (told | MACHINE | _HTML)) / max(1, len(terms))
+        soft = all(x for *_, x in found)
+        if _REPORTED.search(lead):
+            continue
+        by_itself = len(words(lead)) <= LEAD and (share > 0.8 if soft else not set(words(whole)) & _SPEAKERS or share >= 0.8)
+        if by_itself:
+            odd = strange(terms, around)
+            out.append(Finding(odd and share >= COVERED, True, key, segment, odd, []))
+        if not by_itself or share < COVERED:
+            out.append(Finding(False, False, key, segment, True, sorted(around)))
+    return out
 
 
 def residue(docs: DataFrame, hosts: int = HOSTS) -> DataFrame:
-    """(doc_id, reason) for every document that is or holds residue, each document once.
+    """(doc_id, reason) for every document that is or holds residue, each row of `docs` once.
 
     `docs` has doc_id, text, title and item_key (the address slug); NULL titles and slugs
     share no term with anything. Repeated documents are judged each, an empty table gives
-    none. Only doubtful sentences are shuffled, counted by sentence and address first.
+    none. Texts are looked through once; the findings, a small part, are written down,
+    counted by sentence and address, and only they are shuffled.
     """
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "clear", "sentence", "slug", "strange")}
-        for key, text, title, slug in zip(batch["doc_id"], batch["text"], batch["title"], batch["item_key"]):
-            clear, doubtful = inspect(text)
-            known = set(words(title)) | set(words((slug or "").replace("-", " ").replace("_", " ")))
-            if doubtful:
-                known |= split_doubtful(text)[1]
-            for sentence in [None] if clear else dict.fromkeys(doubtful):
-                terms = set(words(sentence)) - {"0"}
+        out: dict[str, list] = {k: [] for k in ("row", "doc_id", "slug", *Finding._fields)}
+        for row, key, text, title, slug in zip(batch["row"], batch["doc_id"], batch["text"], batch["title"], batch["item_key"]):
+            for found in dict.fromkeys(f._replace(known=tuple(f.known)) for f in findings(text, title, slug)):
+                out["row"].append(row)
                 out["doc_id"].append(key)
-                out["clear"].append(clear)
-                out["sentence"].append(sentence)
                 out["slug"].append(slug)
-                out["strange"].append(bool(sentence) and not terms & known)
+                for name, value in zip(Finding._fields, found):
+                    out[name].append(list(value) if name == "known" else value)
         return out
 
-    looked = map_batches(
-        spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", F.col("item_key").cast("string").alias("item_key"))),
-        run, "doc_id bigint, clear boolean, sentence string, slug string, strange boolean",
-    )
-    clear = looked.where("clear").select("doc_id", F.lit("clear wording or slot").alias("reason"))
-    doubt = looked.where("not clear and strange")
-    shared = doubt.select("sentence", "slug").distinct().groupBy("sentence").agg(F.count("slug").alias("hosts")).where(F.col("hosts") >= hosts)
-    return clear.unionByName(doubt.join(shared, "sentence", "left_semi").select("doc_id", F.lit("shared doubtful sentence").alias("reason")).distinct())
+    scan = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "title", F.col("item_key").cast("string").alias("item_key")))
+    ddl = "row bigint, doc_id bigint, slug string, decided boolean, alone boolean, key string, segment string, strange boolean, known array<string>"
+    looked = cut_lineage(map_batches(scan.withColumn("row", F.monotonically_increasing_id()), run, ddl).where("strange"))
+    shared = looked.where("alone and key <> 'slot'").select("key", "segment", "slug").distinct().groupBy("key", "segment").agg(F.count("slug").alias("hosts")).where(F.col("hosts") >= hosts)
+    shared = cut_lineage(shared.select(F.col("key").alias("_key"), F.col("segment").alias("_segment")))
+    found = lambda rows, reason: rows.select("row", "doc_id", F.lit(reason).alias("reason"))
+    again = looked.where("alone and not decided").join(shared, (F.col("key") == F.col("_key")) & (F.col("segment") == F.col("_segment")), "left_semi")
+    split = lambda c: F.array_except(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "), " "), F.array(*[F.lit(w) for w in ("", "0", *sorted(_LIGHT))]))
+    terms, rest = split(F.col("_segment")), split(F.replace(F.col("segment"), F.col("_segment"), F.lit(" ")))
+    outside = F.array_union(F.col("known"), rest)
+    # Two words may be said by chance; a page says more.
+    held = F.col("segment").contains(F.col("_segment")) & (3 * F.size(F.array_intersect(terms, outside)) <= F.size(terms))
+    inside = looked.where("not alone").join(shared.where(F.size(F.split("_segment", " ")) >= 3), (F.col("key") == F.col("_key")) & held)
+    every = found(looked.where("decided"), "slot or page").unionByName(found(again, "sentence of several addresses")).unionByName(found(inside, "sentence of several addresses inside another"))
+    return every.groupBy("row", "doc_id").agg(F.min("reason").alias("reason")).select("doc_id", "reason")

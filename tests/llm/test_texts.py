@@ -154,37 +154,60 @@ def test_peaks(spark):
     assert sorted((r.row_id, r.peak) for r in few) == sorted((r.row_id, r.peak) for r in joined)
 
 
-RESIDUE = [
+SLOTS = [
     "The best thing about {{ item.title | default }} is it.", "I bought the [product_name] last month.", "Dear ${user.name}, hello", "My <brand> arrived.", "Das %order_id% ist gut.", "Hello __product_name__!", "for {STORE_NAME}", "<%= brand %>", "@@order_id@@", "[INSERT BRAND HERE]",
-    "Lorem ipsum dolor sit amet, consectetur", "It is lorem ipsum dolor sit amet quiet.", "404 Not Found\nThe requested URL /x/1 was not found on this server.", "<h1>503 Service Unavailable</h1>", "502 Bad Gateway\nnginx", "You need to enable JavaScript to run this app.", "Bitte aktivieren Sie JavaScript, um fortzufahren.",
-    "We use cookies. Accept all to continue.", "Access denied. You don't have permission to access this.", "YOUR SESSION HAS EXPIRED. PLEASE SIGN IN AGAIN.", "Escriba aquí su opinión", "Votre avis ici", "TODO: add review text", "Debe habilitar JavaScript para ver este contenido.", "I gave ut enim ad minim veniam, quis nostrud exercitation ullamco.", "Traceback (most recent call last):\n  x",
+    "My {{ " + "long slot name " * 8 + "}} arrived.",
+]
+PAGES = [
+    "Lorem ipsum dolor sit amet, consectetur", "404 Not Found\nThe requested URL /x/1 was not found on this server.", "<h1>503 Service Unavailable</h1>", "502 Bad Gateway\nnginx", "You need to enable JavaScript to run this app.", "Bitte aktivieren Sie JavaScript, um fortzufahren.",
+    "Nice. We use cookies. Accept all to continue.", "Access denied. You don't have permission to access this.", "YOUR SESSION HAS EXPIRED. PLEASE SIGN IN AGAIN.", "Escriba aquí su opinión", "Votre avis ici", "Debe habilitar JavaScript para ver este contenido.", "Traceback (most recent call last):\n  x", "test test test",
 ]
 REAL = [
     "The app showed error 404 twice, then it worked.", "Their web shop said 503 on launch day.", "The poster really prints lorem ipsum under the picture.", "Had to enable JavaScript in the old browser to register.", "A book on JavaScript with 49 exercises.", "My session with support expired but they called back.",
     "Cookie crumbs fall out easily, access to the tray is simple.", "The display says <MENU> and then <OK>, easy.", "I returned it [the blue one] and kept the grey one.", "The manual says {see page 3} in braces.", "<p>Really happy with it.</p>", "20% off and 30% happier, no regrets.", "<b>Great</b> <title>x", None, "", "Please try again later, said the hotline.",
 ]
+QUOTED = [
+    "My blah blah blah husband loved this blender.", "He kept saying test test test while the kids ate.", "The blender arrived with an internal server error sticker, try again.", "Traceback (most recent call last) jokes aside, great mug.", 'The shop only shows "Access denied. You don\'t have permission", so no spare parts.', "The screen displays lorem ipsum dolor sit amet until the first start.",
+    "Its page says please enable JavaScript to view the comments.",
+]
 
-
-@pytest.mark.parametrize("text", RESIDUE)
+@pytest.mark.parametrize("text", SLOTS + PAGES)
 def test_residue(text):
-    assert residue.inspect(text)[0]
+    assert any(f.decided for f in residue.findings(text))
 
 
-@pytest.mark.parametrize("text", REAL)
+@pytest.mark.parametrize("text", REAL + QUOTED)
 def test_no_residue(text):
-    assert residue.inspect(text) == (False, [])
+    assert not any(f.decided for f in residue.findings(text)) and (text in QUOTED or not residue.findings(text))
+
+
+def test_slug_title_and_body_decide():
+    """The same sentence is a page or speech, by what surrounds it."""
+    page = "Access denied. You do not have permission to access the archive."
+    assert any(f.decided for f in residue.findings(page, "Nice lamp", "itm-lamp"))
+    assert not any(f.decided for f in residue.findings(page, "Archive access permission", "itm-lamp"))
+    assert not any(f.decided for f in residue.findings(page, "Nice lamp", "permission-access-archive"))
+    assert not any(f.decided for f in residue.findings(page + " A game about access to an archive that needs permission.", "Nice lamp", "itm-lamp"))
+
+
+DDL = "doc_id bigint, text string, title string, item_key string"
 
 
-def test_every_wording_can_be_reached():
-    """The key words that decide whether the search runs cover every wording."""
-    for text in RESIDUE[10:]:
-        assert not residue.KEYS.isdisjoint(words(text)) or "<h" in text
+def test_hosts_decide_on_wording_inside_sentences(spark):
+    """A page that is known from several addresses is found inside a sentence; what reviewers say is not, however often."""
+    page = "Database connection failed: too many clients (33359)"
+    rows = [(k, page.replace("33359", str(k)), "Nice lamp", f"itm-{k}") for k in range(3)]
+    rows += [(10, f"We sent it back, the {page} lid was scratched.", "Nice lamp", "itm-9"), (11, f"Our lamp app says {page} each morning.", "Nice lamp", "itm-8"), (12, "We saw that the database connection failed once.", "Nice lamp", "itm-7")]
+    rows += [(100 + 10 * n + k, f"{t} Number {k}.", "Fine", f"itm-{k}") for n, t in enumerate(QUOTED + [x for x in REAL if x]) for k in range(4)]
+    assert sorted(r.doc_id for r in residue.residue(spark.createDataFrame(rows, DDL)).collect()) == [0, 1, 2, 10]
+    few = [r for r in rows if r[0] not in (1, 2)]
+    assert not residue.residue(spark.createDataFrame(few, DDL)).where("doc_id >= 10").count()
 
 
 def test_residue_operator(spark):
     ddl = "doc_id bigint, text string, title string, item_key string, reason string"
-    rows = [(k, t, None, None, None) for k, t in enumerate(RESIDUE[:3])] + [(50 + k, t, "t", "itm-a", "x") for k, t in enumerate(REAL)]
-    rows += [(100 + k, "Oops! Not found.", "Nice lamp", f"itm-{k}", None) for k in range(3)] + [(200, "Try again later.", "Lamp", "itm-1", None), (201, "Untitled", "Untitled", "itm-9", None), (0, RESIDUE[0], None, None, None), (300, "x " * 200_000, None, None, None)]
+    rows = [(k, t, None, None, None) for k, t in enumerate(SLOTS[:3])] + [(50 + k, t, "t", "itm-a", "x") for k, t in enumerate(REAL)]
+    rows += [(100 + k, "Oops! Not found.", "Nice lamp", f"itm-{k}", None) for k in range(3)] + [(200, "Try again later.", "Lamp", "itm-1", None), (201, "Untitled", "Untitled", "itm-9", None), (0, SLOTS[0], None, None, None), (300, "x " * 200_000, None, None, None)]
     table = spark.createDataFrame(rows, ddl)
     got = sorted(r.doc_id for r in residue.residue(table).collect())
     assert got == [0, 0, 1, 2, 100, 101, 102]
@@ -239,8 +262,8 @@ def _samples(tree, more):
 
 
 def test_every_alternative_can_be_reached():
-    for pattern in residue.CLEAR:
+    for pattern in residue.CLEAR + residue.SOFT:
         made = {x for more in (0, 1) for x in _samples(re._parser.parse(pattern), more) if re.search(pattern, x, re.S)}
         assert made, pattern
         for text in made:
-            assert residue.inspect(text)[0], (pattern, text)
+            assert residue.findings(text), (pattern, text)
