@@ -95,7 +95,9 @@ _MARKS = re.compile(r"//+|/\*+|\*+/|<!--|-->|^[ \t]*(?:#+|--+|;+|%+|\*+|>+|\"{3}
 _STUB = re.compile(r"(?:pass|return|none|null|undefined|nil|\.\.\.|raise|throw|new|error|notimplementederror|notimplementedexception|true|false|[\s;(){}'\"`.,]|0|1)*")
 _STRINGS = re.compile(r"\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}")
 _STARTS = re.compile(r"\s*(?:#|//|/\*|\"|'|--|<!--|`{3}|~{3}|;|%|\*)")
-_SAFE_WORDS = 6
+FEW = 6
+_LAST_WORD = re.compile(r"(\w+)\W*\Z")
+_LABEL = re.compile(r"[^={}();<>]*(?::|\n)[\W_]*")
 _COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#(?!!|[ ]*(?:include|define|ifdef|ifndef|endif|pragma|undef|if|else)\b|\[))")
 _FOUR = ("python", "javascript", "java", "c")
 
@@ -105,16 +107,32 @@ def _normal(text: str) -> str:
 
 
 def copies_question(instruction: str | None, answer: str) -> bool:
-    """The answer is the instruction again, but for layout, case, a label or comment marks."""
+    """The answer is the instruction again, but for layout, case, a label or comment marks.
+
+    A label may have any number of words if a colon or a line end closes it and no code
+    stands in it; up to FEW other words may stand around the question if no code does. A
+    question of one or two words has to be the whole answer, a label aside.
+    """
     asked = words(instruction)
-    if len(asked) < 3 or asked[0] not in (m.group().lower() for m in islice(WORD.finditer(answer), _SAFE_WORDS + 1)):
-        return False  # only a label of a few words may stand before it
-    shown = words(answer)
+    if not asked:
+        return False
+    first = next(WORD.finditer(answer), None)
+    last = _LAST_WORD.search(answer)
+    opens = bool(first) and first.group().lower() == asked[0]
+    closes = bool(last) and last.group(1).lower() == asked[-1]
+    if not closes and not opens and asked[0] not in (m.group().lower() for m in islice(WORD.finditer(answer), FEW + 1)):
+        return False
+    spans = list(WORD.finditer(answer))
+    shown = [m.group().lower() for m in spans]
     extra = len(shown) - len(asked)
-    if not 0 <= extra <= _SAFE_WORDS:
+    if extra < 0:
+        return False
+    if shown[extra:] == asked:
+        label = answer[: spans[extra].start()]
+        if not extra or _LABEL.fullmatch(label):
+            return True
+    if not 0 <= extra <= FEW or len(asked) < 3 or extra and answer.rstrip()[-1:] in "={};":
         return False
-    if extra and answer.rstrip()[-1:] in "={};":
-        return False  # code stands beside it
     return any(shown[k : k + len(asked)] == asked for k in range(extra + 1))
 
 
@@ -189,9 +207,10 @@ def breaks_off(text: str, language: str) -> bool:
 def pair_defects(instruction: str | None, answer: str | None, language: str) -> list[str]:
     """Every defect type of an answer, by the ordered rules.
 
-    An empty answer has that type alone, one that repeats the question likewise. A refusal
-    and a wrong language can only hold where no working code of the row's language stands;
-    a truncated answer has to begin as code of that language.
+    An empty answer has that type alone, one that repeats the question likewise. The other
+    rules only look at answers that are no working code of the row's language, and each adds
+    its type: a refusal may stand in another language than the instruction and code of
+    another language may break off.
     """
     if is_empty(answer):
         return ["empty"]
@@ -216,21 +235,26 @@ def pair_defects(instruction: str | None, answer: str | None, language: str) ->
     rivals = {k: v for k, v in shares.items() if k != language and not (language == "javascript" and k == "typescript") and not (language == "c" and k == "cpp" and v < own)}
     best = max(rivals, key=rivals.get) if rivals else None
     is_code = own >= 0.25 or bool(best and rivals[best] >= 0.25)
-    if (bare or not is_code or _prose_like(prose)) and REFUSAL.search(prose):
-        return ["refusal"]
-    if bare or not is_code or _prose_like(prose):
+    spoken_out = bare or not is_code or _prose_like(prose)
+    if spoken_out and REFUSAL.search(prose):
+        found.append("refusal")
+    if spoken_out:
         spoken, asked = human_language(prose), human_language(instruction or "") or "en"
         if spoken and spoken != asked and (bare or not own or _prose_like(prose)):
-            return ["other_language"]
-    if not bare:
-        if _is_json(answer):
-            return ["other_language"]
-        if best and rivals[best] >= 0.25 and rivals[best] >= own + 0.2:
-            return ["other_language"]
-        if any(rivals.get(x, 0) > 0.5 * own and parses(answer, x) for x in _FOUR):
-            return ["other_language"]
-        if own > 0 and language in _FOUR and breaks_off(answer, language):
-            found.append("truncated")
+            found.append("other_language")
+    if bare or found and not is_code:
+        return found
+    other = None
+    if not found:
+        if _is_json(answer) or best and rivals[best] >= 0.25 and rivals[best] >= own + 0.2:
+            other = best or "json"
+        else:
+            other = next((x for x in _FOUR if rivals.get(x, 0) > 0.5 * own and parses(answer, x)), None)
+        if other:
+            found.append("other_language")
+    written = other or language
+    if (other or own > 0) and written in _FOUR and breaks_off(answer, written):
+        found.append("truncated")
     return found
 
 

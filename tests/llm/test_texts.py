@@ -59,7 +59,8 @@ def test_long_texts_are_judged_whole():
 
 def test_empty_values():
     assert all(map(is_empty, [None, "", " ", "​\xa0", "```python\n```", "```\n\n```", "N/A", "None", " null ", "~~~\n~~~", " \n  "]))
-    assert not any(map(is_empty, ["x", "REJECT", "pass", "0", "not a", "a " * 200, "```\nx\n```"]))
+    assert is_empty("```python\n" * 400 + "```\n") and is_empty("\n".join("~~~ tag-one" for _ in range(30))) and is_empty(" " * 300 + "null" + "\n" * 300)
+    assert not any(map(is_empty, ["a\n" * 300, "null " * 100, "```\n" * 300 + "x", "x", "REJECT", "pass", "0", "not a", "a " * 200, "```\nx\n```"]))
 
 
 def test_language_and_words():
@@ -76,7 +77,7 @@ CODE = "import os\n\n\ndef sort_rows(rows):\n    # Sorry, I cannot help it\n
     [
         (None, "python", ["empty"]), ("```\n```", "java", ["empty"]), (CODE, "python", []), (ASK, "python", ["copies_question"]), ("# " + ASK.upper(), "python", ["copies_question"]), ("Task:\n" + ASK.replace(" ", "  "), "c", ["copies_question"]),
         (f'"""{ASK}"""\n' + CODE, "python", []), ("I'm sorry, but I can't help with that.", "python", ["refusal"]), ("// I must decline to write this.\n", "javascript", ["refusal"]), ("# As an assistant I am unable to share that.\npass", "python", ["refusal"]),
-        ("Leider kann ich dabei nicht helfen.", "python", ["refusal"]), ("Lo siento, no puedo ayudar con eso.", "c", ["refusal"]), ("申し訳ありませんが、お手伝いできません。", "java", ["refusal"]), (CODE[:-5], "python", ["truncated"]), (CODE[: CODE.index("'Sorry") + 9], "python", ["truncated"]),
+        ("Leider kann ich dabei nicht helfen.", "python", ["refusal"]), ("Lo siento, no puedo ayudar con eso.", "c", ["refusal", "other_language"]), ("申し訳ありませんが、お手伝いできません。", "java", ["refusal", "other_language"]), ("Das kann ich nicht schreiben, denn es ist nicht sicher und die Regeln sind streng.", "python", ["refusal", "other_language"]), (CODE[:-5], "python", ["truncated"]), (CODE[: CODE.index("'Sorry") + 9], "python", ["truncated"]),
         ("int f(void)\n{\n    return (", "c", ["truncated"]), ("function f(a) {\n  const b = `x${a", "javascript", ["truncated"]), (CODE, "java", ["other_language"]), ("function f(a) {\n  return a;\n}\n", "python", ["other_language"]), ("SELECT a FROM b\nWHERE c > 1;\n", "javascript", ["other_language"]),
         ("#!/bin/sh\nset -eu\ncp \"$1\" /srv\n", "python", ["other_language"]), ("<!DOCTYPE html>\n<html>\n<body></body>\n</html>\n", "c", ["other_language"]), ('{"a": 1,\n "b": [2]}', "python", ["other_language"]), ("Zuerst liest man die Datei ein und prüft jeden Wert von rows.", "python", ["other_language"]),
         ("まず rows を読み込み、値を確認します。", "c", ["other_language"]), ("import os\n<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\ny = 3\n", "python", []), ("# prüft den Wert\n" + CODE, "python", []),
@@ -86,6 +87,19 @@ def test_pair_defects(answer, language, want):
     assert pairs.pair_defects(ASK, answer, language) == want
 
 
+def test_two_types_at_once():
+    java = "import java.util.List;\n\npublic class Rows {\n    private final List<String> rows = new ArrayList<>();\n    public void add(String row) {\n        rows.add("
+    assert pairs.pair_defects(ASK, java, "python") == ["other_language", "truncated"]
+    assert pairs.pair_defects("Schreibe eine Funktion, die alles sortiert und nicht doppelt ist.", "Das kann ich leider nicht schreiben, das ist gegen die Regeln.", "python") == ["refusal"]
+
+
+def test_labels_and_questions_of_any_length():
+    label = "Here is once more the whole question that somebody asked me to answer today:\n"
+    assert pairs.copies_question(ASK, label + ASK) and pairs.copies_question(ASK, "# " + label + "# " + ASK.upper())
+    assert pairs.copies_question("Sort rows", "sort ROWS.") and pairs.copies_question("Sort rows", "Question: sort rows") and not pairs.copies_question("Sort rows", "sort(rows)\nprint(1)")
+    assert not pairs.copies_question(ASK, "x = 1;\n" * 5 + '"""' + ASK) and not pairs.copies_question("", "") and not pairs.copies_question(None, "x")
+
+
 SOURCE = "row_id bigint, lang string, file_path string, original_instruction string, original_code string, fixed_code string, repo string, defect string, problem string"
 
 
