@@ -6,9 +6,12 @@ import ast
 import warnings
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillsift.functions.text import sections
+
 
 def _keys(node: ast.Dict) -> dict[str, ast.expr] | None:
     """The entries of a dict literal, or None if a key is no text."""
@@ -23,7 +26,7 @@ def _keys(node: ast.Dict) -> dict[str, ast.expr] | None:
 def bundle_error(tests: str | None) -> str | None:
     """Why the source of a bundle is not acceptable, or None.
 
-    It has to assign a dict literal to `tests` with the lists functionality and security,
+    Its first plain assignment to `tests` has to be a dict literal with the lists functionality and security,
     each of two or more dict literals with text keys, an `input` that is a dict literal, and
     an `output`. NULL counts as a missing section.
     """
@@ -35,13 +38,10 @@ def bundle_error(tests: str | None) -> str | None:
             tree = ast.parse(tests)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return "syntax error"
-    value = None
-    for node in tree.body:
-        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) and node.value else []
-        if any(isinstance(t, ast.Name) and t.id == "tests" for t in targets):
-            value = node.value
-    if value is None:
+    assigned = [n.value for n in tree.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name) and t.id == "tests"]
+    if not assigned:
         return "tests is not assigned"
+    value = assigned[0]
     if not isinstance(value, ast.Dict) or (groups := _keys(value)) is None:
         return "tests is no dict literal"
     for name in ("functionality", "security"):
@@ -65,3 +65,27 @@ def bundle_error(tests: str | None) -> str | None:
 def bundle_problem(tests: pd.Series) -> pd.Series:
     """`bundle_error` over a column; NULL means acceptable."""
     return tests.map(lambda t: bundle_error(None if t is None or t != t else t))
+
+
+def _parses(source: str | None) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+@F.pandas_udf(StringType())
+def _whole_problem(setup: pd.Series, tests: pd.Series) -> pd.Series:
+    return pd.Series(["syntax error in the set-up" if t is not None and not _parses(s) else bundle_error(t) for s, t in zip(setup, tests)], dtype=object)
+
+
+def validated(markdown: Column | str) -> Column:
+    """struct(test_setup, test_code, error) of a bundle in Markdown: sections, both parses, the
+    check of `tests`. The two parts are NULL where there is an error."""
+    parts = sections(markdown)
+    error = _whole_problem(parts["setup"], parts["tests"])
+    good = lambda c: F.when(error.isNull(), c)
+    return F.struct(good(parts["setup"]).alias("test_setup"), good(parts["tests"]).alias("test_code"), error.alias("error"))

@@ -1,4 +1,4 @@
-"""JSON as Python writes it, for text whose bytes matter, and sanitizers for arbitrary values."""
+"""JSON as Python writes it, for text whose bytes matter."""
 
 from __future__ import annotations
 
@@ -6,54 +6,29 @@ import json
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-
-def plain(value: Any, seen: frozenset = frozenset()) -> Any:
-    """A JSON-safe copy: keys become text, tuples and sets lists, bytes text, cycles a mark, the rest repr."""
-    if value is None or isinstance(value, (bool, int, float, str)):
-        return value
-    if isinstance(value, (bytes, bytearray)):
-        return bytes(value).decode("utf-8", "replace")
-    if id(value) in seen:
-        return "<circular>"
-    inner = seen | {id(value)}
-    if isinstance(value, dict):
-        return {k if isinstance(k, str) else str(k): plain(v, inner) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [plain(v, inner) for v in value]
-    if isinstance(value, (set, frozenset)):
-        return [plain(v, inner) for v in sorted(value, key=repr)]
-    return str(value)
+from quillsift.functions.plain import for_prompt
 
 
 def dumps(value: Any, indent: int | None = None) -> str:
     """json.dumps without ASCII escapes."""
-    return json.dumps(plain(value), ensure_ascii=False, indent=indent)
-
-
-@F.pandas_udf(StringType())
-def canonical(text: pd.Series) -> pd.Series:
-    """JSON text re-written with Python's separators; text that is no JSON stays NULL."""
-
-    def one(x):
-        try:
-            return dumps(json.loads(x))
-        except (TypeError, ValueError, RecursionError):
-            return None
+    return json.dumps(for_prompt(value), ensure_ascii=False, indent=indent)
 
-    return text.map(one)
 
+def rewritten(text: Column | str, indent: int | None = None) -> Column:
+    """JSON text as Python's json.dumps writes it; text that is no JSON stays NULL."""
 
-@F.pandas_udf(StringType())
-def pretty(text: pd.Series) -> pd.Series:
-    """JSON text with an indent of two; text that is no JSON stays NULL."""
+    @F.pandas_udf(StringType())
+    def one(column: pd.Series) -> pd.Series:
+        def again(x):
+            try:
+                return dumps(json.loads(x), indent)
+            except (TypeError, ValueError, RecursionError):
+                return None
 
-    def one(x):
-        try:
-            return dumps(json.loads(x), indent=2)
-        except (TypeError, ValueError, RecursionError):
-            return None
+        return column.map(again)
 
-    return text.map(one)
+    return one(text)

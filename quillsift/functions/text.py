@@ -58,13 +58,15 @@ def sections(markdown: Column | str) -> Column:
     return F.struct(part(1).alias("setup"), part(2).alias("tests"), found.alias("found"))
 
 
-def flatten_chat(messages: Column | str) -> Column:
+def flatten_chat(messages: Column | str, structured: bool = False) -> Column:
     """The contents of a message list, stripped, blank ones left out, joined by an empty line.
 
-    NULL lists, NULL messages and NULL contents give nothing.
+    NULL lists, NULL messages and NULL contents give nothing. With `structured` the contents
+    are no text (parts of several kinds) and count by their JSON.
     """
     c = F.col(messages) if isinstance(messages, str) else messages
-    parts = F.filter(F.transform(F.coalesce(c, F.array()), lambda m: pystrip(m["content"])), lambda t: t != "")
+    said = (lambda m: F.to_json(m["content"])) if structured else (lambda m: m["content"])
+    parts = F.filter(F.transform(F.coalesce(c, F.array()), lambda m: pystrip(said(m))), lambda t: t != "")
     return F.array_join(parts, "\n\n")
 
 

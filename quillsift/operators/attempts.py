@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.operators.order import with_ordinal
+from quillsift.operators.order import _numbered
+
+#: Keys over which the rows of one key are spread where they meet a single row.
+SALTS = 32
+
+
+def meet(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on key of many rows with one row each, the many spread over SALTS keys."""
+    salted = many.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [key, "_salt"], how).drop("_salt")
 
 
 def expand(rows: DataFrame, most: int, name: str = "attempt") -> DataFrame:
@@ -30,7 +40,7 @@ def winners(attempts: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
 def made(attempts: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
     """Attempts that take place at all: those up to and with the first that qualifies."""
     end = first_match(attempts, key, order, ok).withColumnRenamed(order, "_end")
-    return attempts.join(end, key, "left").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
+    return meet(attempts, end, key, "left").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).drop("_end")
 
 
 def last_reason(attempts: DataFrame, key: str, order: str, ok: Column, reason: Column) -> DataFrame:
@@ -43,12 +53,16 @@ def ordered_attempts(rows: DataFrame, key: str, order: str, most: int | None = N
     """Numbers the rows of each key from 1 in order; `most` keeps the first so many.
 
     `order` is unique within a key. Only key and order are numbered, as a whole over range
-    partitions, and the number of each key's first row is taken off, so a key with a third
-    of all rows is spread over many tasks. NULL keys are one key.
+    partitions, and the number of each key's first row is taken off. That number is found
+    for each partition a key lies in and joined by key and partition, so a key with a third
+    of all rows is spread over as many tasks as it has partitions. NULL keys are one key.
     """
-    narrow = with_ordinal(rows.select(F.col(key).alias("__key"), F.col(order).alias("__order")), "__key", "__order", name="__n")
-    first = narrow.groupBy(F.col("__key").alias("__of")).agg(F.min("__n").alias("__first"))
-    numbers = narrow.join(first, F.col("__key").eqNullSafe(F.col("__of"))).select("__key", "__order", (F.col("__n") - F.col("__first") + 1).cast("int").alias(name))
+    narrow = _numbered(rows.select(F.col(key).alias("__key"), F.col(order).alias("__order")), ["__key", "__order"], "__n", keep_place=True)
+    local = narrow.groupBy("__key", "__part").agg(F.min("__n").alias("__low"))
+    whole = local.groupBy(F.col("__key").alias("__of")).agg(F.min("__low").alias("__first"))
+    placed = local.join(whole, F.col("__key").eqNullSafe(F.col("__of"))).select("__of", F.col("__part").alias("__in"), "__first")
+    same = F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__in"))
+    numbers = narrow.join(placed, same).select("__key", "__order", (F.col("__n") - F.col("__first") + 1).cast("int").alias(name))
     if most is not None:
         numbers = numbers.where(F.col(name) <= most)
     return rows.join(numbers, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__order"))).drop("__key", "__order")

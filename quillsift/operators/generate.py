@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import unfence
 from quillsift.operators import cache
+from quillsift.session import cut_lineage
+from quillsift.sources import storage
 
 #: A client is a callable prompt -> text, made once for each partition by a factory without arguments.
 Factory = Callable[[], Callable[[str], str]]
@@ -58,17 +60,18 @@ def generate(requests: DataFrame, key: str, prompt: str, factory: Factory, retri
 
 
 def memoized(requests: DataFrame, key: str, prompt: str, path: str | None, factory: Factory, read: bool = True, write: bool = True, **options: Any) -> DataFrame:
-    """Requests with `output`, `code` and `error`: recorded generations first, the model for the rest.
+    """Requests with `output`, `code`, `error` and `recorded`: recorded generations first, the model for the rest.
 
     New generations are appended to the cache at `path` before they are used.
     """
-    import os
-
     spark = requests.sparkSession
-    have = spark.read.parquet(path) if path and read and os.path.isdir(path) else spark.createDataFrame([], f"{key} string, raw_output string, error string, at timestamp")
+    have = spark.read.parquet(path) if path and read and storage.exists(spark, path) else spark.createDataFrame([], f"{key} string, raw_output string, error string, at timestamp")
     newest = cache.latest(have.select(key, "raw_output", "error", "at"), key, "at")
     hit: Column = cache.usable("raw_output", "error")
-    made = generate(cache.misses(requests, newest, key, hit), key, prompt, factory, **options).withColumn("at", F.current_timestamp())
+    known = newest.where(hit).select(key, F.lit(True).alias("recorded"))
+    requests = requests.join(known, key, "left").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
+    requests = cut_lineage(requests) if path and write else requests  # before the cache grows
+    made = generate(requests.where("not recorded"), key, prompt, factory, **options).withColumn("at", F.current_timestamp())
     if path and write:
         cache.put(made, path)
         both = cache.latest(spark.read.parquet(path), key, "at")

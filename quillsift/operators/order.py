@@ -11,53 +11,61 @@ from pyspark.sql.window import Window
 from quillsift.session import cut_lineage
 
 
-def with_ordinal(rows: DataFrame, *keys: str, name: str = "row_index", unique: bool = True) -> DataFrame:
+def with_ordinal(rows: DataFrame, *keys: str, name: str = "row_index", unique: bool = True, keep: Column | None = None) -> DataFrame:
     """Numbers the rows from 0 in the order of the keys; NULL keys come first.
 
     Keys are range-partitioned and sorted once and written to the shared folder, so that the
     second reading sees the same partitions; only one count for each partition is collected.
     With unique keys only the keys are written, and the rows join their numbers. Otherwise
     whole rows are written and ties are numbered in any order. An old column of that name
-    is replaced; an empty table stays empty.
+    is replaced; an empty table stays empty. All rows are numbered; with `keep` only those
+    it holds for are given, and only they are shuffled to meet their numbers.
     """
     if name in rows.columns:
         rows = rows.drop(name)
     if not unique or set(rows.columns) == set(keys):
-        return _numbered(rows, keys, name)
+        numbered = _numbered(rows, keys, name)
+        return numbered if keep is None else numbered.where(keep)
     plain = [f"__k{k}" for k in range(len(keys))]
     numbers = _numbered(rows.select(*[F.col(c).alias(p) for c, p in zip(keys, plain)]), plain, name)
     same = F.lit(True)
     for c, p in zip(keys, plain):
         same = same & F.col(c).eqNullSafe(F.col(p))
-    return rows.join(numbers, same).drop(*plain)
+    return (rows if keep is None else rows.where(keep)).join(numbers, same).drop(*plain)
 
 
-def _numbered(rows: DataFrame, keys, name: str) -> DataFrame:
+def _numbered(rows: DataFrame, keys, name: str, keep_place: bool = False) -> DataFrame:
+    """The rows with their numbers, and with the range partition (`__part`) they lie in if wanted."""
     place, base = "__part", "__at"
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(place, F.spark_partition_id()).withColumn(base, F.monotonically_increasing_id())
     ordered = cut_lineage(ordered)
     sizes = ordered.groupBy(place).agg(F.count("*").alias("n"), F.min(base).alias("first")).orderBy(place).collect()
     if not sizes:
-        return ordered.select(*rows.columns, F.lit(0).cast("bigint").alias(name))
+        return ordered.select(*rows.columns, *([place] if keep_place else []), F.lit(0).cast("bigint").alias(name))
     shift, before = {}, 0
     for r in sizes:
         shift[r[place]] = before - r["first"]
         before += r["n"]
     moves = F.create_map(*[F.lit(x) for k, v in shift.items() for x in (k, v)])
-    return ordered.select(*rows.columns, (F.col(base) + moves[F.col(place)]).cast("bigint").alias(name))
+    return ordered.select(*rows.columns, *([place] if keep_place else []), (F.col(base) + moves[F.col(place)]).cast("bigint").alias(name))
 
 
 def pre_limit(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n source rows by key; 0 and negative numbers mean all."""
-    return rows if n <= 0 else rows.orderBy(key).limit(n)
+    """The first n source rows by key (unique); 0 and negative numbers mean all.
+
+    Keys are numbered over range partitions, so no task gathers n rows.
+    """
+    if n <= 0:
+        return rows
+    return with_ordinal(rows, key, name="__rank").where(F.col("__rank") < n).drop("__rank").select(*rows.columns)
 
 
 def cut_off(rows: DataFrame, key: str, accepted: Column, n: int) -> DataFrame:
     """(last): the key of the n-th accepted row; NULL if there are fewer or n is 0 or less (then all count)."""
     if n <= 0:
         return rows.sparkSession.createDataFrame([(None,)], f"last {rows.schema[key].dataType.simpleString()}")
-    first = rows.where(accepted).select(key).orderBy(key).limit(n)
-    return first.agg(F.when(F.count("*") == n, F.max(key)).alias("last"))
+    numbered = with_ordinal(rows.where(accepted).select(key), key, name="__rank")
+    return numbered.where(F.col("__rank") == n - 1).agg(F.max(key).alias("last"))
 
 
 def post_limit(rows: DataFrame, key: str, accepted: Column, n: int) -> DataFrame:
@@ -96,3 +104,8 @@ def exact_split(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> tupl
         return rows, None
     held = smallest_by_hash(rows, key, math.ceil(round(ratio * rows.count(), 9)), str(seed))
     return rows.join(held.select(key), key, "left_anti"), held
+
+
+def evaluation_split(rows: DataFrame, key: str, held: DataFrame | None, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
+    """(train, eval): given evaluation rows as they are, else an exact sample, else none."""
+    return (rows, held) if held is not None else exact_split(rows, key, ratio, seed)

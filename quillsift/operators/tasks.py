@@ -10,6 +10,7 @@ from quillsift.functions.text import chat_or_text, first_text, flatten_chat, fra
 
 # Categories whose prompt hides the tests (fixed values).
 HIDDEN_TESTS = ("CWE-78", "CWE-79", "CWE-200", "CWE-352", "CWE-601")
+# Fields that may hold a reference, in order (fixed values).
 ORIGINALS = ("generated_code", "ground_truth_solution", "fixed_code", "reference_code")
 CASE = "struct<input:string,output:string,security_property:string>"
 
@@ -55,7 +56,11 @@ def normalize(rows: DataFrame) -> DataFrame:
     nested = bundle(rows)
     is_nested = nested.isNotNull()
     prompt_kind = rows.schema["prompt"].dataType if "prompt" in rows.columns else T.StringType()
-    prompt = flatten_chat("prompt") if isinstance(prompt_kind, T.ArrayType) else chat_or_text(field(rows, "prompt"))
+    if isinstance(prompt_kind, T.ArrayType):
+        content = prompt_kind.elementType["content"].dataType
+        prompt = flatten_chat("prompt", structured=not isinstance(content, T.StringType))
+    else:
+        prompt = chat_or_text(field(rows, "prompt"))
     returned = field(rows, "return_value") if "return_value" in rows.columns else field(rows, "return")
     pick = lambda name: F.when(is_nested, nested[name]).otherwise(field(rows, name))
     return rows.withColumns(
@@ -68,6 +73,18 @@ def normalize(rows: DataFrame) -> DataFrame:
     )
 
 
+def initial(rows: DataFrame) -> DataFrame:
+    """Rows before any generation: no error, no code, no cache hit; old columns of these names are replaced."""
+    return rows.withColumns({"mini_gen_error": F.lit(None).cast("string"), "generated_code": F.lit(""), "mini_gen_cache_hit": F.lit(False)})
+
+
+def arguments(rows: DataFrame) -> Column:
+    """The arguments of a normalized and previewed row: its own, or for nested rows without any the inferred ones."""
+    own = F.col("task_arguments")
+    bare = F.coalesce(F.regexp_replace(own, r"\s", ""), F.lit("")).isin("", "[]", "null", "{}")
+    return F.when(F.col("task_nested") & bare, F.col("inferred")).otherwise(own)
+
+
 def harness_input(rows: DataFrame) -> Column:
     """The four fields a harness needs; set-up parts that are no text count as empty."""
     flat = F.struct(

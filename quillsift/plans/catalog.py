@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +11,9 @@ from quillsift.functions import scoring, text
 from quillsift.functions.bundles import bundle_problem
 from quillsift.operators import attempts, cache, order, prefs, reports, tasks
 from quillsift.plans import pipelines
-from quillsift.session import shared_dir, table
+from quillsift.session import table
 from quillsift.sources import jsonl
+from quillsift.sources.storage import workspace
 from quillsift.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,11 +53,6 @@ PYTHON = f"lower({strip('lang')}) = 'python'"
 NUMBERED = "(SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS row_index FROM source_rows)"
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables in the folder that all executors share."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 # ---------------------------------------------------------------- conversion of published rows
 
 
@@ -67,7 +61,8 @@ def workspace(spark: SparkSession, name: str) -> str:
     f"'published-preferences' AS source, '{prefs.PAIR_RULE}' AS pair_rule FROM {NUMBERED} WHERE {PYTHON} AND {FILLED}"
 )
 def q_convert_pairs(spark, root):
-    rows = order.with_ordinal(table(spark, root, "source_rows"), "row_id")
+    keep = text.same_language("lang", "Python") & prefs.required(*prefs.REQUIRED)
+    rows = order.with_ordinal(table(spark, root, "source_rows"), "row_id", keep=keep)
     made = prefs.convert(rows, "Python")
     part = lambda c: F.col(c)[0]["content"].alias(c)
     return made.select("metadata.row_index", part("prompt"), part("chosen"), part("rejected"), "metadata.lang", "metadata.cwe", "metadata.benign", "metadata.source", "metadata.pair_rule")
@@ -375,7 +370,7 @@ KEYED = "(SELECT repo || '|' || coalesce(cwe, '') AS key, * FROM task_rows)"
 REFNEG = (
     f"WITH k AS {KEYED}, r AS (SELECT key, min(task_id) AS ref_id FROM k WHERE harness_passed AND {strip('generated_code')} <> '' GROUP BY 1), "
     f"t AS (SELECT key, count(*) AS tries, min(task_id) FILTER (WHERE {strip('generated_code')} <> '' AND generated_code <> 'REJECT') AS attempt FROM k WHERE NOT harness_passed GROUP BY 1), "
-    "p AS (SELECT r.key, r.ref_id, a.generated_code AS ref_code, t.attempt, b.generated_code AS rejected, CASE WHEN t.attempt IS NOT NULL THEN NULL WHEN t.tries IS NULL THEN 'no attempts' ELSE 'no attempt qualifies' END AS outcome "
+    "p AS (SELECT r.key, r.ref_id, a.generated_code AS ref_code, t.attempt, b.generated_code AS rejected, CASE WHEN t.attempt IS NOT NULL THEN NULL WHEN t.tries IS NULL THEN 'no_negative_attempts' ELSE 'negative_did_not_match_filter' END AS outcome "
     "FROM r LEFT JOIN t USING (key) LEFT JOIN k a ON a.task_id = r.ref_id LEFT JOIN k b ON b.task_id = t.attempt)"
 )
 
@@ -411,8 +406,8 @@ ROUNDS = (
 
 
 @query(
-    f"SELECT prompt_sha256, outcome, CASE WHEN outcome IS NULL THEN second END AS chosen, CASE WHEN outcome IS NULL THEN first END AS rejected FROM (SELECT *, CASE WHEN f1 THEN 'first generation failed' WHEN g1 THEN 'first generation is good' "
-    f"WHEN g2 IS NULL OR f2 THEN 'revision failed' WHEN NOT g2 THEN 'revision is not good' END AS outcome FROM {ROUNDS})"
+    f"SELECT prompt_sha256, outcome, CASE WHEN outcome IS NULL THEN second END AS chosen, CASE WHEN outcome IS NULL THEN first END AS rejected FROM (SELECT *, CASE WHEN f1 THEN 'first_generation_failed' WHEN g1 THEN 'first_generation_already_correct_secure' "
+    f"WHEN g2 IS NULL OR f2 THEN 'revision_failed' WHEN NOT g2 THEN 'revision_not_correct_secure' END AS outcome FROM {ROUNDS})"
 )
 def q_revision_pairs(spark, root):
     rows = table(spark, root, "generation_cache").select("prompt_sha256", "gen_id", text.unfence("raw_output").alias("code"), "raw_output", "error")
@@ -526,8 +521,8 @@ def q_stream_windows(spark, root):
     source = f"{root}/events.parquet"
     counts = ingest.windowed_counts(ingest.stream_of(spark, source), "ts", "1 day", ["event_type"], "2 days", "value")
     path = workspace(spark, "windows")
-    ingest.drain_complete(counts, path, workspace(spark, "progress"))
-    return spark.read.parquet(path).withColumn("total", F.round("total", 4))
+    ingest.drain_updates(counts, path, workspace(spark, "progress"))
+    return ingest.current(spark.read.parquet(path), "window_start", "event_type").withColumn("total", F.round("total", 4))
 
 
 @query(f"SELECT cache_key, gen_id FROM {LATEST}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.functions import reasons
 from quillsift.functions.text import unfence
 from quillsift.operators import attempts as at
 from quillsift.operators.prefs import pair
@@ -20,18 +21,18 @@ def filter_valid(rows: DataFrame, passed: Column, bookkeeping: list[str]) -> tup
     return rows, rows.where(good).drop(*bookkeeping)
 
 
-def revision_pairs(tries: DataFrame, key: str, order: str, code: str, good: Column, failed: Column, prompt: Column, rule: str = "revision_over_first") -> DataFrame:
+def revision_pairs(tries: DataFrame, key: str, order: str, code: str, good: Column, failed: Column, prompt: Column) -> DataFrame:
     """Two rounds: the first try of each key, and if that is not good its next try.
 
-    Gives (key, outcome, chosen, rejected, prompt): outcome NULL is a pair.
+    Gives (key, outcome, chosen, rejected, prompt, first_good, second_good): outcome NULL is a pair.
     """
     numbered = at.ordered_attempts(tries, key, order, 2).select(key, "attempt", F.col(code).alias("code"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(failed, F.lit(False)).alias("failed"), prompt.alias("prompt"))
     one = lambda k, c: F.max(F.when(F.col("attempt") == k, F.col(c)))
     both = numbered.groupBy(key).agg(one(1, "code").alias("first"), one(1, "good").alias("first_good"), one(1, "failed").alias("first_failed"), one(2, "code").alias("second"), one(2, "good").alias("second_good"), one(2, "failed").alias("second_failed"), one(1, "prompt").alias("prompt"))
     outcome = (
-        F.when(F.col("first_failed"), "first generation failed").when(F.col("first_good"), "first generation is good").when(F.col("second_good").isNull() | F.col("second_failed"), "revision failed").when(~F.col("second_good"), "revision is not good")
+        F.when(F.col("first_failed"), reasons.FIRST_FAILED).when(F.col("first_good"), reasons.FIRST_GOOD).when(F.col("second_good").isNull() | F.col("second_failed"), reasons.REVISION_FAILED).when(~F.col("second_good"), reasons.REVISION_BAD)
     )
-    return both.select(key, outcome.alias("outcome"), F.when(outcome.isNull(), F.col("second")).alias("chosen"), F.when(outcome.isNull(), F.col("first")).alias("rejected"), F.when(outcome.isNull(), F.col("prompt")).alias("prompt"))
+    return both.select(key, outcome.alias("outcome"), F.when(outcome.isNull(), F.col("second")).alias("chosen"), F.when(outcome.isNull(), F.col("first")).alias("rejected"), F.when(outcome.isNull(), F.col("prompt")).alias("prompt"), "first_good", "second_good")
 
 
 def reference_pairs(references: DataFrame, tries: DataFrame, key: str, order: str, qualifies: Column, code: str = "code") -> DataFrame:
@@ -43,7 +44,7 @@ def reference_pairs(references: DataFrame, tries: DataFrame, key: str, order: st
     best = at.winners(tries.select(key, order, F.col(code).alias("code"), qualifies.alias("_q")), key, order, F.col("_q")).select(key, F.col(order).alias("attempt"), F.col("code").alias("rejected"))
     any_try = tries.groupBy(key).agg(F.count("*").alias("tries"))
     joined = references.join(best, key, "left").join(any_try, key, "left")
-    outcome = F.when(F.col("attempt").isNotNull(), F.lit(None).cast("string")).when(F.col("tries").isNull(), "no attempts").otherwise("no attempt qualifies")
+    outcome = F.when(F.col("attempt").isNotNull(), F.lit(None).cast("string")).when(F.col("tries").isNull(), reasons.NO_ATTEMPTS).otherwise(reasons.NEGATIVE_BAD)
     return joined.select(key, "ref_id", "ref_code", "attempt", "rejected", outcome.alias("outcome"))
 
 

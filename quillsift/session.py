@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -56,21 +57,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
-    """An empty frame with the given schema."""
-    return spark.createDataFrame([], ddl)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, for checkpoints and written tables.
 
-    The cluster's own setting wins. Only where none is set (tests, local mode) a
-    folder under the working directory's temporary area is used.
+    The cluster's own setting wins, then a directory set on the context. Where neither is
+    set a local master gets a temporary folder; on a cluster that is an error, because each
+    machine would have its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "quillsift-checkpoints")
-        os.makedirs(folder, exist_ok=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

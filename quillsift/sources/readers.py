@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillsift.sources import storage
 from quillsift.sources.jsonl import read_fast
 
 PREFERENCE_DDL = "prompt array<struct<role:string,content:string>>, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>"
@@ -13,13 +15,13 @@ PREFERENCE_DDL = "prompt array<struct<role:string,content:string>>, chosen array
 
 def snapshot(spark: SparkSession, root: str, dataset: str, split: str, revision: str | None = None, kind: str = "parquet") -> DataFrame:
     """A split of a dataset kept as root/dataset/revision/split; the newest revision by name if none is given."""
-    base = os.path.join(root, dataset)
+    base = f"{root.rstrip('/')}/{dataset}"
     if revision is None:
-        names = sorted(os.listdir(base))
-        if not names:
+        found = storage.names(spark, base)
+        if not found:
             raise FileNotFoundError(base)
-        revision = names[-1]
-    return spark.read.format(kind).load(os.path.join(base, revision, split))
+        revision = found[-1]
+    return spark.read.format(kind).load(f"{base}/{revision}/{split}")
 
 
 def rows_from(spark: SparkSession, jsonl: str | None, ddl: str | None = None, **hub: str) -> DataFrame:
@@ -39,20 +41,12 @@ def dimension(spark: SparkSession, entries: dict[str, str], key: str = "cwe", va
     return spark.createDataFrame(list(entries.items()), f"{key} string, {value} string")
 
 
+_SETTING = re.compile(r"^[ \t]*(?:export[ ]+)?([^\s#=][^=\n]*?)[ \t]*=[ \t]*(?:(['\"])(.*)\2|(.*?))[ \t]*$", re.M)
+
+
 def parse_settings(text: str) -> dict[str, str]:
-    """Lines name=value: comments and blank lines are skipped, a leading `export ` and a pair of quotes dropped."""
-    found = {}
-    for line in text.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#"):
-            continue
-        name, sign, value = line.removeprefix("export ").partition("=")
-        value = value.strip()
-        if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"":
-            value = value[1:-1]
-        if sign and name.strip():
-            found[name.strip()] = value
-    return found
+    """The settings of a text: one name=value a line, `export` and a pair of quotes left out, other lines ignored."""
+    return {m[1]: m[3] if m[2] else m[4] for m in _SETTING.finditer(text)}
 
 
 def load_settings(*paths: str, override: bool = False) -> dict[str, str]:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.sources import storage
+
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file, with the schema they have now."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if os.path.isfile(path):
-        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    if storage.is_file(spark, path):
+        folder, name = path.rsplit("/", 1)
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
@@ -45,10 +46,19 @@ def drain_latest(stream: DataFrame, key: str, order: list[str], path: str, check
     stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs an aggregation over all that is there; the table holds every group, late or open ones too."""
+def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends every group that a batch has changed, with the number of the batch; read the table with `current`.
+
+    Groups behind the watermark leave the state, and no batch rewrites the table.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    stream.writeStream.foreachBatch(store).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    stream.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def current(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last state of every group of a table of updates."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")

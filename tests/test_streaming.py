@@ -36,12 +36,15 @@ def test_windows_leave_out_late_rows(spark, tmp_path):
     assert got[(T0, "a")] == (2, 3) and (T0 + dt.timedelta(minutes=60), "b") in got
 
 
-def test_complete_counts_hold_every_row(spark, tmp_path):
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+def test_updated_counts_hold_every_row(spark, tmp_path):
+    folder, out, progress = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress")
+    counts = lambda: ingest.windowed_counts(ingest.stream_of(spark, folder), "ts", "10 minutes", ["key"], "10 minutes", "n")
     add(spark, folder, [("a", 1, 0), ("a", 2, 9), ("b", 3, 61)])
-    add(spark, folder, [("a", 5, 2)])
-    ingest.drain_complete(ingest.windowed_counts(ingest.stream_of(spark, folder), "ts", "10 minutes", ["key"], "10 minutes", "n"), out, str(tmp_path / "progress"))
-    assert {(r.key, r.n, r.total) for r in spark.read.parquet(out).collect()} == {("a", 3, 8), ("b", 1, 3)}
+    ingest.drain_updates(counts(), out, progress)
+    add(spark, folder, [("b", 5, 62), ("a", 9, 200)])
+    ingest.drain_updates(counts(), out, progress)
+    got = ingest.current(spark.read.parquet(out), "window_start", "key")
+    assert {(r.key, r.window_start.hour, r.n, r.total) for r in got.collect()} == {("a", 0, 2, 3), ("b", 1, 2, 8), ("a", 3, 1, 9)}
 
 
 def test_latest_by_batches(spark, tmp_path):
