@@ -127,8 +127,8 @@ def cases(test_code: Column | str) -> Column:
     return F.from_json(F.nullif(body, F.lit("")), f"struct<functionality:array<{CASE}>,security:array<{CASE}>>")
 
 
-def unnest(rows: DataFrame, key: str, tests: Column) -> DataFrame:
-    """(key, category, pos, input, output, security_property): one row for each case.
+def unnest(rows: DataFrame, key: str, tests: Column, carry: list[str] | None = None) -> DataFrame:
+    """(key, carried columns, category, pos, input, output, security_property): one row for each case.
 
     A case without input has {}, rows without cases give none. The two categories are
     exploded in one pass.
@@ -137,7 +137,7 @@ def unnest(rows: DataFrame, key: str, tests: Column) -> DataFrame:
         F.coalesce(tests[name], F.array().cast(f"array<{CASE}>")),
         lambda c, k: F.struct(F.lit(name).alias("category"), k.cast("bigint").alias("pos"), F.coalesce(c["input"], F.lit("{}")).alias("input"), c["output"].alias("output"), c["security_property"].alias("security_property")),
     )
-    return rows.select(key, F.explode(F.concat(tagged("functionality"), tagged("security"))).alias("_c")).select(key, "_c.*")
+    return rows.select(key, *(carry or []), F.explode(F.concat(tagged("functionality"), tagged("security"))).alias("_c")).select(key, *(carry or []), "_c.*")
 
 
 def input_names(tests: Column) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.functions import scoring, text
-from quillsift.functions.bundles import bundle_problem
+from quillsift.functions import prompts, scoring, text
+from quillsift.functions.bundles import bundle_problem, validated
+from quillsift.functions.pyjson import rewritten
 from quillsift.operators import attempts, cache, order, prefs, reports, tasks
 from quillsift.plans import pipelines
 from quillsift.session import table
-from quillsift.sources import jsonl
+from quillsift.sources import jsonl, readers
 from quillsift.sources.storage import workspace
 from quillsift.streaming import ingest
 
@@ -165,9 +167,44 @@ def q_task_normalize(spark, root):
     )
 
 
-@query(f"SELECT row_id, coalesce(nullif({strip('fixed_code')}, ''), nullif({strip('original_code')}, ''), nullif({strip('original_instruction')}, ''), '') AS code FROM source_rows")
+# The places of a reference in their order: extra_info, the row, the bundle. Each row fills some of them.
+PLACES = {
+    "extra_info": {"generated_code": ("row_id % 5 = 0", "fixed_code"), "ground_truth_solution": ("row_id % 7 = 1", "original_code"), "fixed_code": ("row_id % 5 = 1", "original_instruction"), "reference_code": ("row_id % 3 = 2", "repo")},
+    "": {"generated_code": ("row_id % 11 = 3", "file_path"), "ground_truth_solution": ("row_id % 4 = 1", "fixed_code"), "fixed_code": ("row_id % 13 = 4", "original_code"), "reference_code": ("row_id % 4 = 2", "lang"), "code": ("row_id % 17 = 5", "repo")},
+    "truth": {"generated_code": ("row_id % 19 = 6", "repo"), "ground_truth_solution": ("row_id % 6 = 0", "original_instruction"), "fixed_code": ("row_id % 23 = 7", "repo"), "reference_code": ("row_id % 2 = 0", "file_path"), "code": ("row_id % 29 <> 8", "original_code")},
+}
+IN_ORDER = [f"CASE WHEN {when} THEN {what} END" for part in PLACES.values() for when, what in part.values()]
+
+
+@query(f"SELECT row_id, coalesce({', '.join(f"nullif({strip(x)}, '')" for x in IN_ORDER)}, '') AS code FROM source_rows")
 def q_ref_coalesce(spark, root):
-    return table(spark, root, "source_rows").select("row_id", text.first_text("fixed_code", "original_code", "original_instruction").alias("code"))
+    rows = table(spark, root, "source_rows")
+    filled = lambda part: [F.when(F.expr(when), F.col(what)).alias(name) for name, (when, what) in PLACES[part].items()]
+    nested = rows.select("row_id", F.struct(*filled("extra_info")).alias("extra_info"), *filled(""), F.struct(F.struct(*filled("truth")).alias("ground_truth")).alias("reward_model"))
+    return nested.select("row_id", tasks.reference_code(nested).alias("code"))
+
+
+NESTED = f"(task_id % 2 = 0 AND {strip('function_name')} <> '' AND {strip('test_code')} <> '')"
+
+
+@query(
+    f"SELECT task_id, {NESTED} AS nested, CASE WHEN {NESTED} THEN {strip('function_name')} WHEN task_id % 2 = 1 THEN function_name END AS function_name, CASE WHEN {NESTED} OR task_id % 2 = 1 THEN test_code END AS test_code, "
+    f"CASE WHEN {NESTED} THEN coalesce(setup_tests, '') WHEN task_id % 2 = 1 THEN setup_tests END AS setup_tests, CASE WHEN {NESTED} THEN coalesce(raises, '') ELSE raises END AS raises, "
+    f"CASE WHEN {NESTED} THEN repo ELSE cwe END AS cwe, CASE WHEN {NESTED} OR task_id % 2 = 1 THEN coalesce(setup_code, '') ELSE '' END AS harness_setup FROM task_rows"
+)
+def q_task_nested(spark, root):
+    rows = table(spark, root, "task_rows")
+    even = F.col("task_id") % 2 == 0
+    of = lambda c: F.when(even, F.col(c)).alias(c)
+    ground = ["function_name", "test_code", "setup_tests", "setup_code"]
+    mixed = rows.select("task_id", "prompt", "arguments", "return_value", "raises", "cwe", *[F.when(~even, F.col(c)).alias(c) for c in ground], F.struct(F.col("repo").alias("cwe")).alias("extra_info"), F.struct(F.struct(*map(of, ground)).alias("ground_truth")).alias("reward_model"))
+    flat = tasks.normalize(mixed).withColumn("_h", tasks.harness_input(mixed))
+    return flat.select("task_id", F.col("task_nested").alias("nested"), *[F.col(f"task_{c}").alias(c) for c in ("function_name", "test_code", "setup_tests", "raises", "cwe")], F.col("_h.setup_code").alias("harness_setup"))
+
+
+@query("SELECT task_id, NULL::VARCHAR AS mini_gen_error, '' AS generated_code, false AS mini_gen_cache_hit FROM task_rows")
+def q_initial(spark, root):
+    return tasks.initial(table(spark, root, "task_rows")).select("task_id", "mini_gen_error", "generated_code", "mini_gen_cache_hit")
 
 
 @query("SELECT p.pref_id, coalesce(nullif(p.metadata.cwe, ''), s.cwe) AS cwe FROM preference_rows p LEFT JOIN source_rows s ON p.metadata.row_index = s.row_id")
@@ -278,14 +315,22 @@ def q_details_collect(spark, root):
     return tasks.details(_cases(spark, root), "task_id", ["output"])
 
 
-@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1")
-def q_distinct_sorted(spark, root):
-    return table(spark, root, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+PROPERTIES = "replace(test_code, '\"security\": [{\"input\"', '\"security\": [{\"security_property\": \" ' || coalesce(function_name, '') || ' \", \"input\"')"
 
 
-RESULTS = "(SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'security' ELSE 'functionality' END AS category, l_linestatus = 'F' AS ok FROM lineitem)"
+@query(
+    f"SELECT task_id, coalesce(nullif({strip('function_name')}, ''), '') AS names FROM (SELECT *, {PROPERTIES} AS changed FROM task_rows) WHERE changed LIKE '%security_property%'"
+)
+def q_property_names(spark, root):
+    named = F.concat(F.lit('"security": [{"security_property": " '), F.coalesce("function_name", F.lit("")), F.lit(' ", "input"'))
+    changed = table(spark, root, "task_rows").withColumn("changed", F.replace("test_code", F.lit('"security": [{"input"'), named)).where(F.col("changed").contains("security_property"))
+    return changed.select("task_id", F.array_join(tasks.property_names(tasks.cases("changed")), ",").alias("names"))
+
+
+# Recorded results of cases: all of a passing task, and the functionality of code that runs but does not pass.
+RESULTS = f"(SELECT c.task_id, c.category, t.harness_passed OR (c.category = 'functionality' AND {strip('t.generated_code')} <> '' AND coalesce(t.mini_gen_error, '') = '') AS ok FROM {CASES} c JOIN task_rows t USING (task_id))"
 SUMMARY = (
-    f"(SELECT l_orderkey, count(*) FILTER (WHERE category = 'functionality' AND ok) AS fp, count(*) FILTER (WHERE category = 'functionality') AS ft, "
+    f"(SELECT task_id, count(*) FILTER (WHERE category = 'functionality' AND ok) AS fp, count(*) FILTER (WHERE category = 'functionality') AS ft, "
     f"(count(*) FILTER (WHERE category = 'security' AND ok))::DOUBLE AS sp, (count(*) FILTER (WHERE category = 'security'))::DOUBLE AS st FROM {RESULTS} GROUP BY 1)"
 )
 RATES = "CASE WHEN ft > 0 THEN fp / ft ELSE 0.0 END"
@@ -293,8 +338,10 @@ SECURE = "CASE WHEN st > 0 THEN sp / st ELSE 0.0 END"
 
 
 def _summary(spark, root):
-    results = table(spark, root, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", "security").otherwise("functionality").alias("category"), (F.col("l_linestatus") == "F").alias("ok"))
-    return tasks.summarize(results, "l_orderkey")
+    rows = table(spark, root, "task_rows").select("task_id", "test_code", "harness_passed", (text.nonblank("generated_code") & (F.coalesce("mini_gen_error", F.lit("")) == "")).alias("ran"))
+    cases = tasks.unnest(rows, "task_id", tasks.cases("test_code"), ["harness_passed", "ran"])
+    results = cases.select("task_id", "category", (F.col("harness_passed") | (F.col("category") == "functionality") & F.col("ran")).alias("ok"))
+    return tasks.summarize(results, "task_id")
 
 
 @query(f"SELECT * FROM {SUMMARY}")
@@ -302,29 +349,63 @@ def q_case_summary(spark, root):
     return _summary(spark, root)
 
 
-@query(f"SELECT l_orderkey, round({RATES}, 6)::DOUBLE AS functionality_rate, round({SECURE}, 6)::DOUBLE AS security_rate, ft > 0 AND fp = ft AS correct, st > 0 AND sp + 1e-6 >= st AS secure, ft > 0 AND fp = ft AND st > 0 AND sp + 1e-6 >= st AS correct_secure FROM {SUMMARY}")
+@query(f"SELECT task_id, round({RATES}, 6)::DOUBLE AS functionality_rate, round({SECURE}, 6)::DOUBLE AS security_rate, ft > 0 AND fp = ft AS correct, st > 0 AND sp + 1e-6 >= st AS secure, ft > 0 AND fp = ft AND st > 0 AND sp + 1e-6 >= st AS correct_secure FROM {SUMMARY}")
 def q_score(spark, root):
     scored = _summary(spark, root).withColumn("s", scoring.score(F.lit(True), "fp", "ft", "sp", "st"))
-    return scored.select("l_orderkey", F.round("s.functionality_rate", 6).alias("functionality_rate"), F.round("s.security_rate", 6).alias("security_rate"), "s.correct", "s.secure", "s.correct_secure")
+    return scored.select("task_id", F.round("s.functionality_rate", 6).alias("functionality_rate"), F.round("s.security_rate", 6).alias("security_rate"), "s.correct", "s.secure", "s.correct_secure")
 
 
-@query(f"SELECT l_orderkey FROM {SUMMARY} WHERE ft > 0 AND st > 0 AND fp = ft AND sp + 1e-6 >= st")
+@query(f"SELECT task_id FROM {SUMMARY} WHERE ft > 0 AND st > 0 AND fp = ft AND sp + 1e-6 >= st")
 def q_full_pass(spark, root):
     c = F.col
-    return _summary(spark, root).where(scoring.passes_fully(F.lit(True), c("fp"), c("ft"), c("sp"), c("st"))).select("l_orderkey")
+    return _summary(spark, root).where(scoring.passes_fully(F.lit(True), c("fp"), c("ft"), c("sp"), c("st"))).select("task_id")
 
 
-@query(f"SELECT l_orderkey FROM {SUMMARY} WHERE {RATES} + 1e-9 >= 1.0 AND {SECURE} < 0.999999")
+@query(f"SELECT task_id FROM {SUMMARY} WHERE {RATES} + 1e-9 >= 1.0 AND {SECURE} < 0.999999")
 def q_negative_filter(spark, root):
     scored = _summary(spark, root).withColumn("s", scoring.score(F.lit(True), "fp", "ft", "sp", "st"))
-    return scored.where(scoring.is_negative(F.col("s.functionality_rate"), F.col("s.security_rate"))).select("l_orderkey")
+    return scored.where(scoring.is_negative(F.col("s.functionality_rate"), F.col("s.security_rate"))).select("task_id")
 
 
-@query("WITH r(event_type, checker) AS (VALUES ('click', 'is_click'), ('view', 'is_view'), ('purchase', 'is_purchase')) SELECT e.event_type, r.checker, r.checker IS NOT NULL AS known, count(*) AS n FROM events e LEFT JOIN r USING (event_type) GROUP BY ALL")
+@query("SELECT t.task_id, d.description AS checker, d.cwe IS NOT NULL AS known FROM task_rows t LEFT JOIN cwe_dim d ON nullif(ltrim(regexp_extract(t.cwe, '\\d+'), '0'), '') = nullif(ltrim(regexp_extract(d.cwe, '\\d+'), '0'), '')")
 def q_checker_registry(spark, root):
-    registry = spark.createDataFrame([("click", "is_click"), ("view", "is_view"), ("purchase", "is_purchase")], "event_type string, checker string")
-    joined = table(spark, root, "events").groupBy("event_type").agg(F.count("*").alias("n")).join(registry, "event_type", "left")
-    return joined.select("event_type", "checker", F.col("checker").isNotNull().alias("known"), "n")
+    number = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(c, r"\d+", 0), "^0+", ""), F.lit(""))
+    registry = table(spark, root, "cwe_dim").select(number("cwe").alias("n"), F.col("description").alias("checker"), F.lit(True).alias("known"))
+    return table(spark, root, "task_rows").select("task_id", number("cwe").alias("n")).join(registry, "n", "left").select("task_id", "checker", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("SELECT task_id, nullif(arguments, '') AS rewritten FROM task_rows")
+def q_json_rewritten(spark, root):
+    return table(spark, root, "task_rows").select("task_id", rewritten("arguments").alias("rewritten"))
+
+
+@query(
+    f"SELECT task_id, CASE WHEN test_code IS NULL THEN 'missing sections' WHEN test_code NOT LIKE 'tests = {{%' THEN 'tests is not assigned' WHEN json_array_length(substr(test_code, 9), '$.functionality') < 2 THEN 'functionality has fewer than two cases' "
+    f"WHEN json_array_length(substr(test_code, 9), '$.security') < 2 THEN 'security has fewer than two cases' END AS error, CASE WHEN error IS NULL THEN {strip('setup_tests')} END AS test_setup, CASE WHEN error IS NULL THEN {strip('test_code')} END AS test_code FROM task_rows"
+)
+def q_bundle_markdown(spark, root):
+    return table(spark, root, "task_rows").select("task_id", validated(_markdown()).alias("b")).select("task_id", "b.error", "b.test_setup", "b.test_code")
+
+
+def rendered(template: str, **columns: str) -> str:
+    """SQL of a prompt template over columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return " || ".join(f"coalesce({columns[x]}, '')" if k % 2 else quoted(x) for k, x in enumerate(parts) if k % 2 or x)
+
+
+SOLUTION = dict(prompt="prompt", function_name="function_name", arguments="arguments", returned="return_value", raises="raises", setup_code="setup_code", tests="test_code")
+
+
+@query(
+    f"SELECT task_id, CASE WHEN coalesce(cwe IN ('CWE-78', 'CWE-79', 'CWE-200', 'CWE-352', 'CWE-601'), false) THEN {rendered(prompts.SOLUTION, **SOLUTION)} ELSE {rendered(prompts.SOLUTION_WITH_TESTS, **SOLUTION)} END AS solution, "
+    f"{rendered(prompts.REVISION, prompt='prompt', code='generated_code', evaluation='return_value')} AS revision, {rendered(prompts.NEGATIVE, prompt='prompt', code='generated_code', evaluation='return_value', attempt="'2'")} AS negative FROM task_rows"
+)
+def q_prompts(spark, root):
+    c = F.col
+    parts = {name: c(column) for name, column in SOLUTION.items() if name != "tests"}
+    render = lambda template, **more: prompts.render(template, prompt=c("prompt"), code=c("generated_code"), evaluation=c("return_value"), **more)
+    return table(spark, root, "task_rows").select("task_id", prompts.solution(tasks.hides_tests("cwe"), c("test_code"), **parts).alias("solution"), render(prompts.REVISION).alias("revision"), render(prompts.NEGATIVE, attempt=F.lit(2)).alias("negative"))
 
 
 @query(
@@ -356,9 +437,13 @@ def q_attempt_prefix(spark, root):
     return kept.select("prompt_sha256", "gen_id", F.col("attempt").cast("bigint").alias("attempt"), "ok")
 
 
-@query(f"SELECT prompt_sha256, arg_max(coalesce(error, 'blank output'), attempt) AS reason FROM {TRIES} GROUP BY 1 HAVING NOT bool_or(ok)")
+KEYED_TRIES = f"(SELECT cache_key, gen_id, error, {USABLE} AS ok FROM generation_cache)"
+
+
+@query(f"SELECT cache_key, arg_max(coalesce(error, 'blank output'), gen_id) AS reason FROM {KEYED_TRIES} GROUP BY 1 HAVING NOT bool_or(ok)")
 def q_last_reason(spark, root):
-    return attempts.last_reason(_tries(spark, root), "prompt_sha256", "attempt", F.col("ok"), F.coalesce("error", F.lit("blank output")))
+    rows = table(spark, root, "generation_cache").select("cache_key", "gen_id", "error", cache.usable("raw_output", "error").alias("ok"))
+    return attempts.last_reason(rows, "cache_key", "gen_id", F.col("ok"), F.coalesce("error", F.lit("blank output")))
 
 
 @query("SELECT task_id, attempt::INTEGER AS attempt FROM task_rows, range(1, 4) r(attempt)")
@@ -410,10 +495,28 @@ ROUNDS = (
     f"WHEN g2 IS NULL OR f2 THEN 'revision_failed' WHEN NOT g2 THEN 'revision_not_correct_secure' END AS outcome FROM {ROUNDS})"
 )
 def q_revision_pairs(spark, root):
+    return _revised(spark, root).select("prompt_sha256", "outcome", "chosen", "rejected")
+
+
+def _revised(spark, root):
     rows = table(spark, root, "generation_cache").select("prompt_sha256", "gen_id", text.unfence("raw_output").alias("code"), "raw_output", "error")
     good = ~F.coalesce("raw_output", F.lit("")).rlike(RISKY[1:-1])
-    made = pipelines.revision_pairs(rows, "prompt_sha256", "gen_id", "code", good, ~cache.usable("raw_output", "error"), F.col("prompt_sha256"))
-    return made.select("prompt_sha256", "outcome", "chosen", "rejected")
+    return pipelines.revision_pairs(rows, "prompt_sha256", "gen_id", "code", good, ~cache.usable("raw_output", "error"), F.col("prompt_sha256"))
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (WHERE NOT f1 AND NOT g1 AND g2 AND NOT f2) AS pairs, count(*) FILTER (WHERE g1) AS first_good, count(*) FILTER (WHERE g2) AS second_good FROM {ROUNDS}")
+def q_revision_report(spark, root):
+    return reports.counts(_revised(spark, root), None, pairs=F.col("outcome").isNull(), first_good=F.col("first_good"), second_good=F.col("second_good"))
+
+
+@query(f"{REFNEG} SELECT count(*) AS rows, count(*) FILTER (WHERE outcome IS NULL) AS pairs, (SELECT count(*) FROM k JOIN r USING (key) WHERE NOT harness_passed) AS attempts, (SELECT count(*) FROM k JOIN r USING (key) WHERE NOT harness_passed AND {strip('generated_code')} <> '' AND generated_code <> 'REJECT') AS matching FROM p")
+def q_negative_report(spark, root):
+    rows = table(spark, root, "task_rows").withColumn("key", F.concat("repo", F.lit("|"), F.coalesce("cwe", F.lit(""))))
+    whole = _refneg(spark, root)
+    tries = rows.where(~F.col("harness_passed")).join(whole.select("key"), "key", "left_semi")
+    matching = text.nonblank("generated_code") & (F.col("generated_code") != "REJECT")
+    over = reports.counts(tries, None, matching=matching).select(F.col("rows").alias("attempts"), "matching")
+    return reports.counts(whole, None, pairs=F.col("outcome").isNull()).crossJoin(over)
 
 
 @query("SELECT task_id, function_name, prompt, test_code, cwe, repo, model, coalesce(generated_code, '') AS generated_code FROM task_rows WHERE harness_passed")
@@ -471,15 +574,18 @@ def q_split_exact(spark, root):
     return order.exact_split(table(spark, root, "preference_rows").select("pref_id"), "pref_id", 0.02)[1]
 
 
+SIGNATURE = "list_filter(list_transform(string_split(regexp_extract(coalesce(generated_code, ''), 'def \\w+\\(([^()]*)\\)', 1), ','), lambda p: trim(regexp_replace(p, '[:=].*', ''))), lambda p: p <> '')"
+INPUTS = f"(SELECT task_id, list(DISTINCT k) AS names FROM (SELECT task_id, unnest(json_keys(c, '$.input')) AS k FROM {CASES}) GROUP BY 1)"
+
+
 @query(
-    "SELECT user_id, array_to_string(list_sort(list_filter(t, lambda x: x IN ('click', 'view'))), ',') AS both, array_to_string(list_sort(list_filter(t, lambda x: x NOT IN ('click', 'view'))), ',') AS other "
-    "FROM (SELECT user_id, list(DISTINCT event_type) AS t FROM events GROUP BY 1)"
+    f"SELECT task_id, array_to_string(list_sort(list_filter(names, lambda x: list_contains({SIGNATURE}, x))), ',') AS known, array_to_string(list_sort(list_filter(names, lambda x: NOT list_contains({SIGNATURE}, x))), ',') AS missing FROM {INPUTS} JOIN task_rows USING (task_id)"
 )
 def q_array_setops(spark, root):
-    known = F.array(F.lit("click"), F.lit("view"))
-    users = table(spark, root, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    params = F.transform(F.split(F.regexp_extract(F.coalesce("generated_code", F.lit("")), r"def \w+\(([^()]*)\)", 1), ","), lambda p: F.trim(F.regexp_replace(p, "[:=].*", "")))
+    rows = table(spark, root, "task_rows").select("task_id", tasks.input_names(tasks.cases("test_code")).alias("names"), params.alias("params")).where(F.size("names") > 0)
     joined = lambda a: F.array_join(F.array_sort(a), ",")
-    return users.select("user_id", joined(F.array_intersect("t", known)).alias("both"), joined(F.array_except("t", known)).alias("other"))
+    return rows.select("task_id", joined(F.array_intersect("names", "params")).alias("known"), joined(F.array_except("names", "params")).alias("missing"))
 
 
 @query("SELECT task_id, coalesce(setup_code, '') AS setup_code, coalesce(raises, '') AS raises, greatest(least(length(coalesce(test_code, '')), 4000), 1)::BIGINT AS clamped FROM task_rows")
@@ -498,11 +604,42 @@ def q_jsonl_roundtrip(spark, root):
 
 @query("SELECT row_id, lang, cwe, original_instruction, fixed_code FROM source_rows")
 def q_jsonl_strict(spark, root):
+    """Objects among blank lines, lists and scalars; only the objects come back."""
     path = workspace(spark, "source")
-    jsonl.write(table(spark, root, "source_rows").select("row_id", "lang", "cwe", "original_instruction", "fixed_code"), path)
+    rows = table(spark, root, "source_rows").select("row_id", "lang", "cwe", "original_instruction", "fixed_code")
+    noise = F.array(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.when(F.col("row_id") % 3 == 0, "").when(F.col("row_id") % 3 == 1, "[1, {}]").otherwise(" 7 "))
+    rows.select(F.explode(noise).alias("value")).write.text(path)
     return jsonl.read_strict(spark, path, {"row_id": "bigint", "lang": "string", "cwe": "string", "original_instruction": "string", "fixed_code": "string"}, raw=None)
 
 
+@query("SELECT row_id, repo FROM source_rows WHERE row_id % 2 = 0")
+def q_snapshot(spark, root):
+    """The newest revision of a dataset, by the source switch."""
+    base = workspace(spark, "snapshots")
+    rows = table(spark, root, "source_rows").select("row_id", "repo")
+    rows.write.parquet(f"{base}/pairs/r1/train")
+    rows.where("row_id % 2 = 0").write.parquet(f"{base}/pairs/r2/train")
+    return readers.rows_from(spark, None, root=base, dataset="pairs", split="train")
+
+
+@query(f"SELECT cache_key, gen_id FROM {LATEST}")
+def q_cache_put(spark, root):
+    """Entries put in two appends; the latest of each key is read."""
+    path = workspace(spark, "cache")
+    rows = table(spark, root, "generation_cache").select("cache_key", "gen_id", "raw_output", "error", "ingested_at")
+    cache.put(rows.where("gen_id % 2 = 0"), path)
+    cache.put(rows.where("gen_id % 2 = 1"), path)
+    return cache.latest(spark.read.parquet(path), "cache_key", "ingested_at", "gen_id").select("cache_key", "gen_id")
+
+
+@query("SELECT split_name = 'train' AS train, count(*) AS rows FROM preference_rows GROUP BY 1")
+def q_split_file(spark, root):
+    """A given evaluation set is taken as it is."""
+    rows = table(spark, root, "preference_rows").select("pref_id", "split_name")
+    train, held = order.evaluation_split(rows.where("split_name = 'train'"), "pref_id", rows.where("split_name <> 'train'"), 0.02)
+    return train.select(F.lit(True).alias("train")).unionByName(held.select(F.lit(False).alias("train"))).groupBy("train").agg(F.count("*").alias("rows"))
+
+
 @query("SELECT 'all' AS sink, task_id FROM task_rows UNION ALL SELECT 'passing', task_id FROM task_rows WHERE harness_passed")
 def q_dual_sink(spark, root):
     whole, passing = workspace(spark, "all"), workspace(spark, "passing")
