@@ -29,10 +29,11 @@ NODE = 32
 SMALL = 128
 #: Rows of one block where a group is compared with itself.
 BLOCK = 1000
-#: Steps and children of a branch. With the four children a pair that shares a node shares
-#: one of them with a probability of KEPT or more.
+#: Steps and children of a branch; a pair that shares a node shares a child with a probability of `kept`.
 STEPS, CHILDREN = 2, 4
-FACTS = ("rep", "n", "odd0", "odd1", "odd2", "odd3")
+#: Minwise words of a record that branches choose from.
+SIGNS = 16
+FACTS = ("rep", "n", "fold0", "fold1")
 
 
 def step(threshold: float) -> float:
@@ -41,8 +42,13 @@ def step(threshold: float) -> float:
 
 
 def kept(threshold: float) -> float:
-    """The least probability that a pair of one node shares a child of it."""
-    return 1 - (1 - step(threshold) ** STEPS) ** CHILDREN
+    """The least probability that a pair of one node shares a child of it.
+
+    The mean over how many of the SIGNS words of the pair agree.
+    """
+    p = step(threshold)
+    agree = [math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k) for k in range(SIGNS + 1)]
+    return sum(a * (1 - (1 - (k / SIGNS) ** STEPS) ** CHILDREN) for k, a in enumerate(agree))
 
 
 def trees_for(recall: float, depth: int, threshold: float) -> int:
@@ -60,42 +66,36 @@ def depth_for(counts: np.ndarray, rows: int, node: float = NODE) -> int:
     return max(1, math.ceil(math.log(rows / node) / max(mean, 1e-3)))
 
 
-def _chosen(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """The minwise id of every row; `seed` names the function, one for all rows or one for each.
+def _chosen(ids: np.ndarray, starts: np.ndarray, function: int) -> np.ndarray:
+    """The minwise id of every row under one function; rows without ids get some word.
 
     Ids are hashes already, so a product with an odd number orders them anew, and its
     inverse gives the least one back.
     """
+    seed = tokens.mix(np.array([function, function + (1 << 40)], dtype=np.uint64))
+    odd, flip = int(seed[0]) | 1, seed[1]
     with np.errstate(over="ignore"):
-        odd, flip = tokens.mix(seed) | np.uint64(1), tokens.mix(seed ^ np.uint64(0x5851F42D4C957F2D))
-        inverse = odd.copy()
-        for _ in range(6):
-            inverse = inverse * (np.uint64(2) - odd * inverse)
-        spread_out = len(seed) > 1
-        least = tokens.reduce_rows(np.minimum, (ids ^ (flip[rows] if spread_out else flip)) * (odd[rows] if spread_out else odd), starts, np.uint64(0))
-        return (least * inverse) ^ flip
-
+        least = tokens.reduce_rows(np.minimum, (ids ^ flip) * np.uint64(odd), starts, np.uint64(0))
+        return (least * np.uint64(pow(odd, -1, 1 << 64))) ^ flip
 
-def walk(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, key: np.ndarray, size: np.ndarray, share: np.ndarray, depth: int, seed: np.ndarray, least: int = 0) -> np.ndarray:
-    """The key of the node every row ends in, from the node `key` that holds `size` records.
 
-    `share` is the part of all records that has a word, by counters; `seed` sets the minwise
-    functions of the path, for all rows or for each. At least `least` steps are taken.
-    """
-    size = size.astype(np.float64).copy()
+def walk(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, tree: int, total: int, share: np.ndarray, depth: int) -> np.ndarray:
+    """The key of the node of a tree every row ends in; `share` is the part of all records that has a word, by counters."""
+    n = len(starts) - 1
+    key, size = np.full(n, tree + 1, dtype=np.uint64), np.full(n, float(total))
     for level in range(depth):
-        going = (size > NODE) | (level < least)
+        going = (size > NODE) | (level == 0)
         if not going.any():
             break
+        word = _chosen(ids, starts, 1000 * (tree + 1) + level)
         with np.errstate(over="ignore"):
-            word = _chosen(ids, rows, starts, seed + np.uint64(level))
             key = np.where(going, tokens.mix(key * np.uint64(31) + word + np.uint64(level)), key)
         size = np.where(going, size * share[tokens.slots(word)], size)
     return key
 
 
 def fingerprints(docs: DataFrame, recall: float = RECALL, threshold: float = 0.85) -> tuple[DataFrame, int]:
-    """id, class keys, word count, parity bits and the node of each tree (`paths`, an array); the tree count.
+    """id, class keys, word count, parity bits, the node of each tree (`paths`) and minwise words (`signs`); the tree count.
 
     `docs` has id and words (array<bigint>). Rows without words get a key of their own.
     """
@@ -104,8 +104,8 @@ def fingerprints(docs: DataFrame, recall: float = RECALL, threshold: float = 0.8
     depth = depth_for(counts, total)
     trees = trees_for(recall, depth, threshold)
     held = docs.sparkSession.sparkContext.broadcast(shares)
-    names = ["id", "k1", "k2", "n", "odd0", "odd1", "odd2", "odd3"]
-    schema = pa.schema([(c, pa.int32() if c == "n" else pa.int64()) for c in names] + [("paths", pa.list_(pa.int64()))])
+    names = ["id", "k1", "k2", "n", *tokens.ODDS]
+    schema = pa.schema([(c, pa.int32() if c == "n" else pa.int64()) for c in names] + [(c, pa.list_(pa.int64())) for c in ("paths", "signs")])
 
     def run(batches):
         share = held.value
@@ -116,41 +116,25 @@ def fingerprints(docs: DataFrame, recall: float = RECALL, threshold: float = 0.8
                 ids, rows = tokens.numbered(*tokens.flat(part.column(1)))
                 starts = tokens.segments(rows, n)
                 k1, k2 = tokens.multiset_key(ids, starts)
-                ends = np.stack([walk(ids, rows, starts, np.full(n, t + 1, dtype=np.uint64), np.full(n, total), share, depth, np.array([1000 * (t + 1)], dtype=np.uint64)) for t in range(trees)], axis=1)
                 columns = [part.column(0), k1.view(np.int64), k2.view(np.int64), np.diff(starts).astype(np.int32), *tokens.parities(ids, rows, n)]
-                paths = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * trees, pa.int32()), pa.array(ends.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], paths], schema=schema)
+                lists = [[walk(ids, rows, starts, t, total, share, depth) for t in range(trees)], [_chosen(ids, starts, k) for k in range(SIGNS)]]
+                arrays = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(x), pa.int32()), pa.array(np.stack(x, axis=1).ravel().view(np.int64))) for x in lists]
+                yield pa.RecordBatch.from_arrays([*[c if isinstance(c, pa.Array) else pa.array(c) for c in columns], *arrays], schema=schema)
 
-    ddl = ", ".join(f"{c} {'int' if c == 'n' else 'bigint'}" for c in names) + ", paths array<bigint>"
+    ddl = ", ".join(f"{c} {'int' if c == 'n' else 'bigint'}" for c in names) + ", paths array<bigint>, signs array<bigint>"
     return docs.select("id", "words").mapInArrow(run, ddl), trees
 
 
-def branches(members: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
-    """(rep, parent, node): CHILDREN nodes for every record of a large node, by functions of the node's own.
+def branches(members: DataFrame) -> DataFrame:
+    """(rep, parent, node): CHILDREN nodes for every record of a large node.
 
-    `members` has rep, node, size (of the node) and words.
+    `members` has rep, node and signs. Which of its minwise words lead to a child is drawn
+    anew for each node and child.
     """
-    share = np.minimum(1.0, counts / max(total, 1)).astype(np.float32)
-    held = members.sparkSession.sparkContext.broadcast(share)
-    schema = pa.schema([(c, pa.int64()) for c in ("rep", "parent", "node")])
-
-    def run(batches):
-        part_of = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                n = part.num_rows
-                ids, rows = tokens.numbered(*tokens.flat(part.column(3)))
-                starts = tokens.segments(rows, n)
-                parent = np.asarray(part.column(1)).view(np.uint64)
-                size = np.asarray(part.column(2))
-                for child in range(CHILDREN):
-                    with np.errstate(over="ignore"):
-                        start = tokens.mix(parent + np.uint64(child + 1))
-                    node = walk(ids, rows, starts, start, size, part_of, STEPS, tokens.mix(start), 1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64))], schema=schema)
-
-    return members.select("rep", "node", "size", "words").mapInArrow(run, "rep bigint, parent bigint, node bigint")
+    place = lambda c, k: F.pmod(F.xxhash64("node", c, F.lit(k)), F.lit(SIGNS)).cast("int")
+    taken = lambda c: F.xxhash64("node", c, *[F.get("signs", place(c, k)) for k in range(STEPS)])
+    children = F.array(*[taken(F.lit(c)) for c in range(CHILDREN)])
+    return members.select("rep", F.col("node").alias("parent"), F.explode(children).alias("node"))
 
 
 def with_words(rows: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
@@ -219,8 +203,10 @@ class NearDuplicates:
         self.docs, self.threshold = docs, threshold
         prints, self.trees = fingerprints(docs, recall, threshold)
         self.prints = cut_lineage(prints.where("n > 0"))
-        odd = [F.max(f"odd{k}").alias(f"odd{k}") for k in range(4)]
-        self.classes = cut_lineage(self.prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), *odd, F.first("paths").alias("paths")))
+        # Equal records have equal facts, so those of the least id are taken.
+        self.classes = cut_lineage(self.prints.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+        first = self.prints.select(F.col("id").alias("rep"), "n", *tokens.folded(), "paths")
+        self.reps = cut_lineage(first.join(self.classes.select("rep"), "rep"))
 
     def nodes(self) -> tuple[DataFrame, DataFrame | None]:
         """(rows of small nodes, rows of groups that branching does not separate), with FACTS, node and size.
@@ -228,19 +214,17 @@ class NearDuplicates:
         A large node is given up to branching only if its children need less than half of
         its comparisons, so the work shrinks with every turn and the loop ends.
         """
-        known = self.classes.select(*FACTS)
-        level = self.classes.select(*FACTS, F.explode("paths").alias("node"))
-        small, tight, counted = [], [], None
+        known = self.reps.select(*FACTS)
+        level = self.reps.select(*FACTS, F.explode("paths").alias("node"))
+        small, tight = [], []
         while True:
             big = cut_lineage(level.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > SMALL))
             if big.limit(1).count() == 0:
                 small.append(level)
                 break
             small.append(level.join(big, "node", "left_anti").select(*FACTS, "node"))
-            counted = counted or tokens.id_counts(self.docs, ["words"])
             members = cut_lineage(level.join(big, "node").select(*FACTS, "node", "size"))
-            words = self.docs.select(F.col("id").alias("rep"), "words")
-            children = cut_lineage(branches(members.select("rep", "node", "size").join(words, "rep"), *counted))
+            children = cut_lineage(branches(members.select("rep", "node").join(self.prints.select(F.col("id").alias("rep"), "signs"), "rep")))
             work = children.groupBy("parent", "node").agg(F.count("*").alias("n")).groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
             pays = F.col("work") < 0.5 * F.col("size").cast("double") * F.col("size")
             judged = cut_lineage(big.join(work, F.col("node") == F.col("parent")).select("node", pays.alias("pays")))
@@ -252,21 +236,23 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(a, b), a < b: representatives that share a node and can overlap by their sizes and parity bits."""
         small, tight = self.nodes()
+        most = lambda x, y: tokens.allowed_difference(F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold)
         near = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(self.threshold - 1e-12))
-        near = near & tokens.differ_at_most("x", "y", tokens.allowed_difference(F.col("x.n"), F.col("y.n"), self.threshold))
+        near = near & tokens.differ_at_most("x", "y", most("x", "y"))
         both = lambda met: met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         few = both(small.alias("x").join(small.alias("y"), (F.col("x.node") == F.col("y.node")) & near))
-        if tight is None:
-            return few.distinct()
-        x, y = self_pairs(tight, "node", "size", list(FACTS))
-        many = both(x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x._block") == F.col("y._block")) & near))
-        return few.unionByName(many).distinct()
+        if tight is not None:
+            x, y = self_pairs(tight, "node", "size", list(FACTS))
+            few = few.unionByName(both(x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x._block") == F.col("y._block")) & near)))
+        return tokens.only_near(few.distinct(), self.prints.select(F.col("id").alias("rep"), "n", *tokens.ODDS), most)
 
     def links(self) -> DataFrame:
         """(a, b, overlap0): the representatives whose overlap reaches the threshold."""
-        left = self.docs.select(F.col("id").alias("a"), F.col("words").alias("_wa"))
-        right = self.docs.select(F.col("id").alias("b"), F.col("words").alias("_wb"))
-        joined = self.candidates().join(left, "a").join(right, "b")
+        met = cut_lineage(self.candidates())
+        docs = tokens.only_ids(self.docs, "id", met.select("a").unionByName(met.select(F.col("b").alias("a"))))
+        left = docs.select(F.col("id").alias("a"), F.col("words").alias("_wa"))
+        right = docs.select(F.col("id").alias("b"), F.col("words").alias("_wb"))
+        joined = met.join(left, "a").join(right, "b")
         return shared_words(joined, ["_wa"], ["_wb"], ["a", "b"], self.threshold)
 
     def members(self) -> DataFrame:

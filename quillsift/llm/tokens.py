@@ -7,12 +7,20 @@ shared ids of two texts is the number of words they share with repetition.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOT_BITS = 20
+#: Words of parity bits of a record, and their columns.
+ODD = 8
+ODDS, FOLDS = tuple(f"odd{k}" for k in range(ODD)), ("fold0", "fold1")
+MAP_BITS = 24
 BLOCKS = 64
 #: Partial results that one task merges.
 GROUP = 64
@@ -142,20 +150,55 @@ def rarity(counts: np.ndarray, rows: int) -> np.ndarray:
 
 
 def parities(ids: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
-    """256 bits for each row, as four int64 columns: whether an odd number of ids falls into each of 256 bins.
+    """64 * ODD bits for each row, as ODD int64 columns: whether an odd number of ids falls into each of so many bins.
 
     Two sets that differ in d ids differ in d bits at most, so bits can rule pairs out but
     never rule out a pair that is near enough (see `differ_at_most`).
     """
-    odd = (np.bincount(rows * 256 + (ids & np.uint64(255)).astype(np.int64), minlength=256 * n) & 1).astype(np.uint8)
-    words = np.packbits(odd.reshape(n, 256), axis=1, bitorder="little").view(np.int64)
-    return [np.ascontiguousarray(words[:, k]) for k in range(4)]
+    bins = 64 * ODD
+    odd = (np.bincount(rows * bins + (ids & np.uint64(bins - 1)).astype(np.int64), minlength=bins * n) & 1).astype(np.uint8)
+    words = np.packbits(odd.reshape(n, bins), axis=1, bitorder="little").view(np.int64)
+    return [np.ascontiguousarray(words[:, k]) for k in range(ODD)]
+
+
+def folded() -> list[Column]:
+    """The bits of `parities` over a quarter of the bins, as columns fold0 and fold1; the bound holds for them too."""
+    half = [F.col(f"odd{k}") for k in range(ODD)]
+    fold = lambda of: reduce(lambda x, y: x.bitwiseXOR(y), of)
+    return [fold(half[0::2]).alias("fold0"), fold(half[1::2]).alias("fold1")]
+
+
+def differ_at_most(left: str, right: str, most: Column, names: Sequence[str] = FOLDS) -> Column:
+    """Whether the parity bits of two aliased frames allow a difference of `most` ids."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in names]) <= most
 
 
-def differ_at_most(left: str, right: str, most: Column) -> Column:
-    """Whether the parity bits odd0..odd3 of two aliased frames allow a difference of `most` ids."""
-    bits = [F.bit_count(F.col(f"{left}.odd{k}").bitwiseXOR(F.col(f"{right}.odd{k}"))) for k in range(4)]
-    return bits[0] + bits[1] + bits[2] + bits[3] <= most
+def only_near(pairs: DataFrame, facts: DataFrame, most: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) whose parity bits over all bins allow a difference of most(x, y); `facts` has rep and the bits."""
+    x, y = facts.alias("x"), facts.alias("y")
+    met = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep"))
+    return met.where(differ_at_most("x", "y", most("x", "y"), ODDS)).select("a", "b")
+
+
+def only_ids(frame: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `frame` whose id can be among the ids of `wanted` (one column).
+
+    Wanted ids set bits of a map of 2 MB, whatever their number; it goes to all executors
+    before the wide rows of `frame` are shuffled. When the map fills up, more rows pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    slot = wanted.select(place(F.col(wanted.columns[0])).alias("h"))
+    bits = slot.groupBy(F.shiftright("h", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    words[np.asarray(bits.column("word"))] = np.asarray(bits.column("bits")).view(np.uint64)
+    held = frame.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        at = h.to_numpy().astype(np.uint64)
+        return pd.Series((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return frame.where(among(place(F.col(column))))
 
 
 def allowed_difference(one: Column, two: Column, threshold: float) -> Column:
