@@ -64,7 +64,7 @@ def lists(docs: DataFrame, threshold: float) -> DataFrame:
     """
     counts, total = tokens.id_counts(docs, ["prompt", "chosen"])
     held = docs.sparkSession.sparkContext.broadcast((tokens.rarity(counts, total), counts > HOT))
-    plain = [("id", pa.int64()), ("side", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("np", pa.int32()), ("nc", pa.int32()), *[(f"odd{k}", pa.int64()) for k in range(4)], ("tau", pa.float32()), ("rest", pa.float32())]
+    plain = [("id", pa.int64()), ("side", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("np", pa.int32()), ("nc", pa.int32()), *[(c, pa.int64()) for c in tokens.ODDS], ("tau", pa.float32()), ("rest", pa.float32())]
     entry = pa.struct([("term", pa.int64()), ("square", pa.float32())])
     schema = pa.schema([*plain, ("terms", pa.list_(entry)), ("hot", pa.list_(entry))])
 
@@ -112,21 +112,24 @@ class CrossSplit:
     def __init__(self, docs: DataFrame, threshold: float = 0.85):
         self.docs, self.threshold = docs, threshold
         self.lists = cut_lineage(lists(docs, threshold).where("np + nc > 0"))
-        facts = [F.max(c).alias(c) for c in ("np", "nc", "odd0", "odd1", "odd2", "odd3", "tau", "rest")]
+        facts = [F.max(c).alias(c) for c in ("np", "nc", *tokens.ODDS, "tau", "rest")]
         self.classes = self.lists.groupBy("k1", "k2").agg(
             F.min("id").alias("rep"), F.count_if(F.col("side") == 0).alias("train"), F.count_if(F.col("side") == 1).alias("held"), *facts, F.first("terms").alias("terms"), F.first("hot").alias("hot")
         )
 
     def _entries(self, side: str, lists: str) -> DataFrame:
-        one = self.classes.where(F.col(side) > 0).select("rep", "np", "nc", "odd0", "odd1", "odd2", "odd3", "tau", "rest", F.explode(lists).alias("_e"))
+        one = self.classes.where(F.col(side) > 0).select("rep", "np", "nc", *tokens.folded(), "tau", "rest", F.explode(lists).alias("_e"))
         return one.select("*", F.col("_e.term").alias("term"), F.col("_e.square").alias("square")).drop("_e")
 
+    def _most(self, x: str, y: str) -> Column:
+        each = [tokens.allowed_difference(F.col(f"{x}.{c}"), F.col(f"{y}.{c}"), self.threshold) for c in ("np", "nc")]
+        return each[0] + each[1]
+
     def _met(self, x: DataFrame, y: DataFrame, extra: Column | None = None) -> DataFrame:
         """Products of terms of two lists, for the pairs that sizes and parity bits allow."""
         x, y = x.alias("x"), y.alias("y")
         fits = lambda c: F.least(F.col(f"x.{c}"), F.col(f"y.{c}")) >= F.greatest(F.col(f"x.{c}"), F.col(f"y.{c}")) * F.lit(self.threshold - 1e-12)
-        most = tokens.allowed_difference(F.col("x.np"), F.col("y.np"), self.threshold) + tokens.allowed_difference(F.col("x.nc"), F.col("y.nc"), self.threshold)
-        same = (F.col("x.term") == F.col("y.term")) & (F.col("x.rep") != F.col("y.rep")) & fits("np") & fits("nc") & tokens.differ_at_most("x", "y", most)
+        same = (F.col("x.term") == F.col("y.term")) & (F.col("x.rep") != F.col("y.rep")) & fits("np") & fits("nc") & tokens.differ_at_most("x", "y", self._most("x", "y"))
         return x.join(y, same if extra is None else same & extra).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.square").alias("product"), F.greatest("x.tau", "y.tau").alias("tau"), F.greatest("x.rest", "y.rest").alias("rest"))
 
     def candidates(self) -> DataFrame:
@@ -148,14 +151,17 @@ class CrossSplit:
             right = y.join(counted, "term").withColumn("_by", block("py")).withColumn("_bx", every("px"))
             met = met.unionByName(self._met(left, right, (F.col("x._bx") == F.col("y._bx")) & (F.col("x._by") == F.col("y._by"))))
         summed = met.groupBy("a", "b").agg(F.sum("product").alias("dot"), F.max("tau").alias("tau"), F.max("rest").alias("rest"))
-        return summed.where(F.col("dot") + F.col("rest") >= F.col("tau") * F.lit(1 - 1e-5)).select("a", "b")
+        reach = summed.where(F.col("dot") + F.col("rest") >= F.col("tau") * F.lit(1 - 1e-5)).select("a", "b")
+        return tokens.only_near(reach, self.lists.select(F.col("id").alias("rep"), "np", "nc", *tokens.ODDS), self._most)
 
     def links(self) -> DataFrame:
         """(a, b): classes whose prompts and answers both overlap by the threshold or more,
         a with training records and b with evaluation records; a class with both links itself."""
-        left = self.docs.select(F.col("id").alias("a"), F.col("prompt").alias("_pa"), F.col("chosen").alias("_ca"))
-        right = self.docs.select(F.col("id").alias("b"), F.col("prompt").alias("_pb"), F.col("chosen").alias("_cb"))
-        joined = self.candidates().join(left, "a").join(right, "b")
+        met = cut_lineage(self.candidates())
+        docs = tokens.only_ids(self.docs, "id", met.select("a").unionByName(met.select(F.col("b").alias("a"))))
+        left = docs.select(F.col("id").alias("a"), F.col("prompt").alias("_pa"), F.col("chosen").alias("_ca"))
+        right = docs.select(F.col("id").alias("b"), F.col("prompt").alias("_pb"), F.col("chosen").alias("_cb"))
+        joined = met.join(left, "a").join(right, "b")
         found = shared_words(joined, ["_pa", "_ca"], ["_pb", "_cb"], ["a", "b"], self.threshold).select("a", "b")
         own = self.classes.where("train > 0 and held > 0").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
         return found.unionByName(own)
