@@ -43,6 +43,22 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return _quota(spark, root)[1].where("short").select("cwe")
 
 
+def p3_needs(spark: SparkSession, root: str) -> DataFrame:
+    """What each target category needs and has."""
+    return _quota(spark, root)[1].select("cwe", "need", "available", "short")
+
+
+def p3_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The sample by target category: drawn rows, and whether they lie within minimum and rows at hand; and its size."""
+    placed, planned = _quota(spark, root)
+    drawn = quota.draw(placed, planned).groupBy("category").agg(F.count("*").alias("drawn"))
+    each = planned.join(drawn, "category", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    floor = F.least("min_rows", "available")
+    return each.select(F.col("cwe"), ((F.col("drawn") >= floor) & (F.col("drawn") <= F.col("available")) & (F.col("drawn") == F.col("draw"))).alias("within"), F.lit(None).cast("bigint").alias("size")).unionByName(
+        each.agg(F.sum("drawn").cast("bigint").alias("size")).select(F.lit("all").alias("cwe"), F.lit(True).alias("within"), "size")
+    )
+
+
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
     """Need, available and drawn rows of each target category."""
     return _quota(spark, root)[1].select("cwe", "target_pct", "min_rows", "need", "available", "draw", "short")
@@ -119,6 +135,11 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaks(*_leak_tables(spark, root)).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p7_exact(spark: SparkSession, root: str) -> DataFrame:
+    """For each leaked item the number of reviews with an exact passage."""
+    return leaks.leaks(*_leak_tables(spark, root)).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("reviews"))
+
+
 def p7_items(spark: SparkSession, root: str) -> DataFrame:
     """For each leaked item the reviews with an exact passage and with an edited copy."""
     found = leaks.alignments(*_leak_tables(spark, root))
@@ -160,7 +181,7 @@ def p9_clean(spark: SparkSession, root: str) -> DataFrame:
     return docs.join(residue.residue(docs).select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_needs": p3_needs, "p3_counts": p3_counts, "p3_report": p3_report, "p3_sample": p3_sample, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_exact": p7_exact, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_clean": p9_clean}
 ORACLES: dict[str, str] = {}
 
 _CATEGORY = "try_cast(nullif(ltrim(regexp_extract({0}, '\\d+'), '0'), '') AS BIGINT)"
@@ -209,3 +230,24 @@ ORACLES |= {
     "p6_found": f"SELECT x AS row_id_a, y AS row_id_b FROM {_near(_terms(_WORDS.format('text'), _RECORDS))}",
     "p5_found": f"SELECT least(x, y) AS pref_id_a, greatest(x, y) AS pref_id_b FROM {_side('prompt')} JOIN {_side('chosen')} USING (x, y)",
 }
+
+_LINKS = ORACLES["p6_found"]
+_PAIRS = ORACLES["p5_found"]
+_LABELS = (
+    "(WITH RECURSIVE e AS (SELECT row_id_a AS a, row_id_b AS b FROM l UNION ALL SELECT row_id_b, row_id_a FROM l), reach(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other) "
+    "SELECT id, least(id, min(other)) AS group_id FROM reach GROUP BY id)"
+)
+_TARGET_ROWS = f"(SELECT count(*) FROM {_PLACED} c WHERE c.category IN (SELECT {_CATEGORY.format('cwe')} FROM sample_targets))"
+ORACLES |= {
+    "p3_needs": f"SELECT cwe, need, available, available < need AS short FROM {_NEEDS}",
+    "p3_counts": f"SELECT cwe, true AS within, NULL::BIGINT AS size FROM sample_targets UNION ALL SELECT 'all', true, least((SELECT count(*) // 2 FROM preference_rows), {_TARGET_ROWS})",
+    "p5_report": (
+        f"WITH found AS ({_PAIRS}), split AS (SELECT pref_id, split_name FROM preference_rows), each AS (SELECT CASE WHEN s.split_name = 'train' THEN pref_id_b ELSE pref_id_a END AS pref_id, count(*) AS n FROM found f JOIN split s ON s.pref_id = f.pref_id_a GROUP BY 1) "
+        "SELECT p.split_name, p.metadata.source AS source, count(*) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM preference_rows p LEFT JOIN each USING (pref_id) WHERE p.split_name <> 'train' GROUP BY 1, 2"
+    ),
+    "p6_groups": (
+        f"WITH l AS ({_LINKS}), g AS {_LABELS}, n AS (SELECT id, count(*) AS links FROM (SELECT row_id_a AS id FROM l UNION ALL SELECT row_id_b FROM l) GROUP BY 1) "
+        "SELECT s.row_id, coalesce(g.group_id, s.row_id) AS group_id, coalesce(n.links, 0)::BIGINT AS links FROM source_rows s LEFT JOIN g ON g.id = s.row_id LEFT JOIN n ON n.id = s.row_id"
+    ),
+    "p7_exact": f"SELECT item_id, count(*) AS reviews FROM ({ORACLES['p7_found']}) GROUP BY 1",
+}
