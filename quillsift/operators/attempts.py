@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from quillsift.operators.order import _numbered
 
@@ -12,8 +13,9 @@ SALTS = 32
 
 
 def meet(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """A join on key of many rows with one row each, the many spread over SALTS keys."""
-    salted = many.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    """A join on key of many rows with one row each, the many spread over SALTS keys by a hash of the row."""
+    plain = [f.name for f in many.schema.fields if not isinstance(f.dataType, MapType)]
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     every = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(every, [key, "_salt"], how).drop("_salt")
 
