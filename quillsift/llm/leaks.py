@@ -154,9 +154,10 @@ def alignments(docs: DataFrame, items: DataFrame, run: int = 12, edited: bool =
     """
     grams = _shingle_rows(items, None, False)
     item_grams = grams.select("gram").distinct()
-    some = item_grams.limit(BROADCAST_SHINGLES + 1).toArrow().column("gram")
+    # All shingles of all items are counted, so the bound holds for the seeds with their items too.
+    some = grams.select("gram").limit(BROADCAST_SHINGLES + 1).toArrow().column("gram")
     few = len(some) <= BROADCAST_SHINGLES
-    kept = np.sort(np.asarray(some, dtype=np.int64).view(np.uint64)) if few else None
+    kept = np.unique(np.asarray(some, dtype=np.int64).view(np.uint64)) if few else None
     hits = _shingle_rows(docs, kept, False)
     if not few:
         hits = _salted(hits, item_grams, "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import tokens
-from quillsift.llm.neardup import BLOCK, shared_words
+from quillsift.llm.neardup import BLOCK, shared_words, with_members
 from quillsift.session import cut_lineage, spread
 
 #: Terms of more rows than this have their lists cut into blocks.
@@ -167,17 +167,13 @@ class CrossSplit:
         return found.unionByName(own)
 
     def members(self) -> DataFrame:
-        return self.lists.select("k1", "k2", "id", "side").join(self.classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("rep", "id", "side")
+        return self.lists.select("k1", "k2", "id", "side").join(self.classes.select("k1", "k2", "rep", "train", "held"), ["k1", "k2"]).select("rep", "id", "side", "train", "held")
 
     def pairs(self) -> DataFrame:
         """(train_id, held_id): every linked pair of records."""
         members = self.members()
-        return (
-            self.links()
-            .join(members.where("side = 0").select(F.col("rep").alias("a"), F.col("id").alias("train_id")), "a")
-            .join(members.where("side = 1").select(F.col("rep").alias("b"), F.col("id").alias("held_id")), "b")
-            .select("train_id", "held_id")
-        )
+        train, held = (members.where(F.col("side") == k).withColumnRenamed(c, "copies") for k, c in enumerate(("train", "held")))
+        return with_members(with_members(self.links(), train, "a", "train_id"), held, "b", "held_id").select("train_id", "held_id")
 
     def leaked(self) -> DataFrame:
         """(id, training_records): evaluation records and how many training records each equals or nearly equals."""
