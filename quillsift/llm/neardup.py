@@ -58,12 +58,13 @@ def trees_for(recall: float, depth: int, threshold: float) -> int:
 
 
 def depth_for(counts: np.ndarray, rows: int, node: float = NODE) -> int:
-    """Steps after which a node is expected to be small, for words drawn as they occur."""
+    """Steps after which a node is expected to be small, for words drawn as they occur, and one
+    more for records of frequent words; paths that need it not stop before."""
     often = counts[counts > 0]
     if rows <= node or not len(often):
         return 1
     mean = float((often * -np.log(np.minimum(1.0, often / rows))).sum() / often.sum())
-    return max(1, math.ceil(math.log(rows / node) / max(mean, 1e-3)))
+    return 1 + math.ceil(math.log(rows / node) / max(mean, 1e-3))
 
 
 def _chosen(ids: np.ndarray, starts: np.ndarray, function: int) -> np.ndarray:
@@ -191,6 +192,18 @@ def self_pairs(rows: DataFrame, group: str, size: str, keep: list[str]) -> tuple
     return one.alias("x"), two.alias("y")
 
 
+def with_members(links: DataFrame, members: DataFrame, at: str, name: str) -> DataFrame:
+    """Links with every member of the class that column `at` names, as column `name`.
+
+    `members` has rep, id and copies, the size of the class. Links meet large classes in
+    blocks of BLOCK members, so that a class of a third of all rows is many tasks.
+    """
+    parts = F.ceil(F.col("copies") / BLOCK).cast("int")
+    own = members.select(F.col("rep").alias(at), F.col("id").alias(name), F.pmod(F.xxhash64("id"), parts).cast("int").alias("_block"))
+    blocks = members.groupBy(F.col("rep").alias(at)).agg(F.max(parts).alias("_parts"))
+    return links.join(blocks, at).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).join(own, [at, "_block"]).drop("_block", "_parts")
+
+
 class NearDuplicates:
     """Classes of equal records and the links between them, for one table.
 
@@ -268,11 +281,7 @@ class NearDuplicates:
         """
         members = self.members()
         found = self.links().select("a", "b")
-        across = (
-            found.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-            .join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-            .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        )
+        across = with_members(with_members(found, members, "a", "x"), members, "b", "y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         many = members.where("copies > 1").select(F.col("rep").alias("class"), F.col("id").alias("rep"), "copies")
         x, y = self_pairs(many, "class", "copies", ["rep"])
         same = (F.col("x.class") == F.col("y.class")) & (F.col("x._block") == F.col("y._block")) & (F.col("x.rep") < F.col("y.rep"))
