@@ -96,7 +96,6 @@ _STUB = re.compile(r"(?:pass|return|none|null|undefined|nil|\.\.\.|raise|throw|n
 _STRINGS = re.compile(r"\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}")
 _STARTS = re.compile(r"\s*(?:#|//|/\*|\"|'|--|<!--|`{3}|~{3}|;|%|\*)")
 FEW = 6
-_LAST_WORD = re.compile(r"(\w+)\W*\Z")
 _LABEL = re.compile(r"[^={}();<>]*(?::|\n)[\W_]*")
 _COMMENT_LINE = re.compile(r"\s*(?://|/\*|\*|#(?!!|[ ]*(?:include|define|ifdef|ifndef|endif|pragma|undef|if|else)\b|\[))")
 _FOUR = ("python", "javascript", "java", "c")
@@ -106,6 +105,17 @@ def _normal(text: str) -> str:
     return text.replace("’", "'").replace("ʼ", "'").lower()
 
 
+def _last_word(text: str) -> str:
+    """The last word in lower case, read from the end."""
+    end = len(text)
+    while end and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return text[start:end].lower()
+
+
 def copies_question(instruction: str | None, answer: str) -> bool:
     """The answer is the instruction again, but for layout, case, a label or comment marks.
 
@@ -117,9 +127,8 @@ def copies_question(instruction: str | None, answer: str) -> bool:
     if not asked:
         return False
     first = next(WORD.finditer(answer), None)
-    last = _LAST_WORD.search(answer)
     opens = bool(first) and first.group().lower() == asked[0]
-    closes = bool(last) and last.group(1).lower() == asked[-1]
+    closes = _last_word(answer) == asked[-1]
     if not closes and not opens and asked[0] not in (m.group().lower() for m in islice(WORD.finditer(answer), FEW + 1)):
         return False
     spans = list(WORD.finditer(answer))
