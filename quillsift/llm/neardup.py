@@ -51,20 +51,24 @@ def kept(threshold: float) -> float:
     return sum(a * (1 - (1 - (k / SIGNS) ** STEPS) ** CHILDREN) for k, a in enumerate(agree))
 
 
-def trees_for(recall: float, depth: int, threshold: float) -> int:
+def trees_for(recall: float, depth: float, threshold: float) -> int:
     """Independent trees needed so that a pair at the threshold is missed in all of them with
     1 - recall, if its node branched once more in every tree."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept(threshold) * step(threshold) ** depth)))
 
 
-def depth_for(counts: np.ndarray, rows: int, node: float = NODE) -> int:
+def depth_for(counts: np.ndarray, rows: int, node: float = NODE) -> float:
     """Steps after which a node is expected to be small, for words drawn as they occur, and one
-    more for records of frequent words; paths that need it not stop before."""
+    more for records of frequent words; paths that need it not stop before.
+
+    Of a broken number of steps the last is taken by that part of the nodes, so that cost
+    grows smoothly with the rows; a pair then stays together with step ** depth or more.
+    """
     often = counts[counts > 0]
     if rows <= node or not len(often):
-        return 1
+        return 1.0
     mean = float((often * -np.log(np.minimum(1.0, often / rows))).sum() / often.sum())
-    return 1 + math.ceil(math.log(rows / node) / max(mean, 1e-3))
+    return 1 + math.log(rows / node) / max(mean, 1e-3)
 
 
 def _chosen(ids: np.ndarray, starts: np.ndarray, function: int) -> np.ndarray:
@@ -80,12 +84,14 @@ def _chosen(ids: np.ndarray, starts: np.ndarray, function: int) -> np.ndarray:
         return (least * np.uint64(pow(odd, -1, 1 << 64))) ^ flip
 
 
-def walk(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, tree: int, total: int, share: np.ndarray, depth: int) -> np.ndarray:
+def walk(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, tree: int, total: int, share: np.ndarray, depth: float) -> np.ndarray:
     """The key of the node of a tree every row ends in; `share` is the part of all records that has a word, by counters."""
     n = len(starts) - 1
     key, size = np.full(n, tree + 1, dtype=np.uint64), np.full(n, float(total))
-    for level in range(depth):
+    for level in range(math.ceil(depth)):
         going = (size > NODE) | (level == 0)
+        if depth - level < 1:
+            going &= (tokens.mix(key) >> np.uint64(40)).astype(np.float64) < (depth - level) * (1 << 24)
         if not going.any():
             break
         word = _chosen(ids, starts, 1000 * (tree + 1) + level)
